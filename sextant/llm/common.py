@@ -92,3 +92,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     out = pairs.select(F.col("a").alias("node"), "component").union(roots)
     return out.select(F.col("node").cast(kind), F.col("component").cast(kind))
+
+
+def by_key(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
+    """Left join of rows to lookup on key when a few keys may hold most rows.
+
+    lookup is unique on key and has a column weight, the rows that its key stands for.
+    Keys with at least 1/2000 of the total weight (2,000 at most, by arithmetic) are joined by
+    broadcast; rows of such keys take part in the shuffled join under keys of their own, from
+    column spread, so no task gets them all. weight is dropped.
+    """
+    values = [c for c in lookup.columns if c not in (key, weight)]
+    total = lookup.agg(F.sum(weight)).first()[0] or 0
+    heavy = F.col(weight) >= max(1000, total / 2000)
+    hot = lookup.where(heavy).select(F.col(key).alias("__hot"), F.struct(F.lit(1).alias("__one"), *values).alias("__h"))
+    cold = lookup.where(~heavy).select(F.xxhash64(key).alias("__to"), F.col(key).alias("__cold"), F.struct(*values).alias("__c"))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    out = out.withColumn("__from", F.when(F.col("__h").isNull(), F.xxhash64(key)).otherwise(F.xxhash64(F.lit("hot"), spread)))
+    out = out.join(cold, (F.col("__from") == F.col("__to")) & (F.col(key) == F.col("__cold")), "left")
+    picked = [F.when(F.col("__h").isNull(), F.col("__c")[v]).otherwise(F.col("__h")[v]).alias(v) for v in values]
+    return out.select(*rows.columns, *picked)

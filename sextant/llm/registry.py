@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from .chat_format import OP7_SQL, op7_chat_format
 from .exact_dedup import OP9_SQL, op9_exact_dedup
+from .near_dedup import op10_near_dedup
 from .packing import op1_packing
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op7_chat_format": op7_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_near_dedup": op10_near_dedup,
 }
 ORACLE_SQL = {
     "op7_chat_format": OP7_SQL,
