@@ -5,12 +5,14 @@ from __future__ import annotations
 from .chat_format import OP7_SQL, op7_chat_format
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .near_dedup import op10_near_dedup
+from .nearest import op2_nearest
 from .packing import op1_packing
 from .quality import op3_quality
 from .suffix_dedup import op6_suffix_dedup
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_nearest": op2_nearest,
     "op3_quality": op3_quality,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_format": op7_chat_format,
