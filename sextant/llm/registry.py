@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat_format import OP7_SQL, op7_chat_format
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .near_dedup import op10_near_dedup
+from .html_extract import op4_html_extract
 from .nearest import op2_nearest
 from .packing import op1_packing
 from .quality import op3_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_nearest": op2_nearest,
     "op3_quality": op3_quality,
+    "op4_html_extract": op4_html_extract,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_format": op7_chat_format,
     "op9_exact_dedup": op9_exact_dedup,
