@@ -1,27 +1,66 @@
-"""The corpus pipeline: each stage works on what its predecessor kept."""
+"""The corpus pipeline: from raw documents to training sequences.
+
+Five stages, each of which works on all that its predecessor kept: documents of low quality go,
+exact copies go, one document of each group of near-duplicates stays, passages that an
+earlier document has are cut out, and the rest is packed into sequences. All stages but
+the last return the columns of documents. A run writes every stage to the shared folder
+and reads it again, so a lost executor costs no earlier stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm.common import materialise
+from sextant.llm.common import materialise, table
 from sextant.llm.exact_dedup import exact_dedup
+from sextant.llm.near_dedup import near_dedup
+from sextant.llm.packing import pack
+from sextant.llm.quality import keep_good
+from sextant.llm.suffix_dedup import remove_repeats
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents whose perplexity lies above their language's threshold."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the one with the smallest doc_id."""
     return exact_dedup(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a similarity of 0.8 on five-word shingles, the one with the smallest doc_id."""
+    return near_dedup(docs, words=5, percent=80)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without what repeats an earlier document or an earlier part of their own."""
+    return remove_repeats(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token ids, with lengths that are powers of two."""
+    import public_tokenizers
+
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
-    ("exact_dedup", drop_copies),
+    ("quality", quality),
+    ("exact_dedup", copies),
+    ("near_dedup", near_copies),
+    ("suffix_dedup", repeats),
+    ("packing", packing),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = materialise(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+#: SQL can't express the perplexity model, the tokenizer's merges or the near-duplicate components.
 ORACLE_SQL = None
