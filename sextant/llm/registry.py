@@ -6,6 +6,7 @@ from .chat_format import OP7_SQL, op7_chat_format
 from .exact_dedup import OP9_SQL, op9_exact_dedup
 from .near_dedup import op10_near_dedup
 from .html_extract import op4_html_extract
+from .line_dedup import op8_line_dedup
 from .nearest import op2_nearest
 from .packing import op1_packing
 from .quality import op3_quality
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_html_extract": op4_html_extract,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_format": op7_chat_format,
+    "op8_line_dedup": op8_line_dedup,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_near_dedup": op10_near_dedup,
 }
