@@ -38,7 +38,7 @@ FILTER_BITS = 27
 #: A name with at least so many strings (and a 2000th of all) is split into single windows.
 MANY = 20_000
 #: Strings sorted together, and entries of a collection above which its columns stand in files.
-COLLECTION, IN_MEMORY = 8192, 1 << 22
+COLLECTION, IN_MEMORY = 1024, 1 << 22
 LOCAL_STRINGS = 100_000
 NO_ID = (1 << 63) - 1
 
@@ -103,15 +103,15 @@ def runs(parts, length: int):
     return part[begin], starts[begin], size, name[begin].astype(np.int64), twice
 
 
-def _column(n: int, kind):
-    """A column of a collection: in memory, or in a scratch file once the collection has outgrown it."""
+def _column(n: int):
+    """The column of a collection: in memory, or in a scratch file once the collection has outgrown it."""
     import numpy as np
 
     if n <= IN_MEMORY:
-        return np.empty(n, kind)
+        return np.empty(n, "<u8")
     with tempfile.TemporaryFile() as f:
-        f.truncate(n * np.dtype(kind).itemsize)
-        return np.memmap(f, kind, "r+", shape=(n,))
+        f.truncate(8 * n)
+        return np.memmap(f, "<u8", "r+", shape=(n,))
 
 
 def sort_collection(strings: list[bytes], cap: int):
@@ -119,58 +119,68 @@ def sort_collection(strings: list[bytes], cap: int):
 
     Each round inserts the suffixes that are one symbol longer. A suffix's place is the
     rank of its symbol in the transform so far; its common prefix is one more than the
-    least common prefix between it and the last same symbol above.
+    least common prefix between it and the last same symbol above. An entry packs the symbol before
+    the suffix (the transform), the common prefix, the suffix's length and its string, from the lowest byte up.
     """
     import numpy as np
 
+    u8 = np.uint64
     count = len(strings)
-    sizes = np.array([len(s) for s in strings])
+    sizes = np.array([len(s) for s in strings], np.int64)
     flat = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint8) + np.uint8(1)  # 0 ends a string; UTF-8 has no byte 255
     last = np.cumsum(sizes)
-    before = np.where(sizes > 0, flat[np.maximum(last - 1, 0)], 0).astype(np.uint8)
-    bwt, lcp, owner, depth = before, np.zeros(count, np.uint8), np.arange(count, dtype=np.int32), np.zeros(count, np.uint8)
-    fresh = np.ones(count, bool)
+    before = np.where(sizes > 0, flat[np.maximum(last - 1, 0)], 0).astype(u8) if len(flat) else np.zeros(count, u8)
+    entries = np.arange(count, dtype=u8) << u8(24) | before
+    # the transform's symbols with their places, in the order of the suffixes they lead to
+    low = (1 << 32) - 1
+    leads = before.astype(np.int64) << 32 | np.arange(count)
+    leads = np.sort(leads[before > 0])
+    rank = np.arange(len(leads))
     for step in range(1, int(sizes.max(initial=0)) + 1):
-        order = np.argsort(bwt, kind="stable")
-        ends = int(np.count_nonzero(bwt == 0))
-        order = order[ends:]
-        rank = np.flatnonzero(fresh[order])
-        source = order[rank]
-        symbol = bwt[source]
-        n = len(bwt)
-        padded = np.append(lcp, np.uint8(0))
-
-        def least(lo, hi, padded=padded):
-            """Minima of the common prefixes at lo .. hi - 1."""
+        n = len(entries)
+        lcp = np.empty(n + 1, np.uint8)
+        lcp[:n], lcp[n] = entries.view(np.uint8)[1::8], 0
+
+        def least(lo, hi, lcp=lcp):
+            """One more than the minima of the common prefixes at lo .. hi - 1, at most cap."""
             by = np.argsort(lo, kind="stable")
             pairs = np.empty(2 * len(lo), np.int64)
             pairs[0::2], pairs[1::2] = lo[by], hi[by]
             out = np.empty(len(lo), np.uint8)
             if len(lo):
-                out[by] = np.minimum.reduceat(padded, pairs)[0::2]
+                out[by] = np.minimum.reduceat(lcp, pairs)[0::2]
             return np.minimum(out, cap - 1) + np.uint8(1)
 
-        above, below = order[np.maximum(rank - 1, 0)], order[np.minimum(rank + 1, len(order) - 1)]
-        has_above, has_below = (rank > 0) & (bwt[above] == symbol), (rank + 1 < len(order)) & (bwt[below] == symbol)
+        lead = leads[rank]
+        source, symbol = lead & low, lead >> 32
+        above, below = leads[np.maximum(rank - 1, 0)], leads[np.minimum(rank + 1, len(leads) - 1)]
+        has_above, has_below = (rank > 0) & (above >> 32 == symbol), (rank + 1 < len(leads)) & (below >> 32 == symbol)
         mine, next_ = np.zeros(len(rank), np.uint8), np.zeros(len(rank), np.uint8)
-        mine[has_above] = least(above[has_above] + 1, source[has_above] + 1)
-        next_[has_below] = least(source[has_below] + 1, below[has_below] + 1)
+        mine[has_above] = least((above[has_above] & low) + 1, source[has_above] + 1)
+        next_[has_below] = least(source[has_below] + 1, (below[has_below] & low) + 1)
         place = count + rank
+        who = (entries[source] >> u8(24)).astype(np.int64)
+        symbols = np.where(sizes[who] > step, flat[np.maximum(last[who] - step - 1, 0)], 0).astype(np.int64)
+        grown = _column(n + len(rank))
         old = np.ones(n + len(rank), bool)
         old[place] = False
-        who = owner[source]
-        made = []
-        for column, values in ((bwt, np.where(sizes[who] > step, flat[np.maximum(last[who] - step - 1, 0)], 0)), (lcp, mine), (owner, who), (depth, np.full(len(rank), step, np.uint8))):
-            grown = _column(n + len(rank), column.dtype)
-            grown[old] = column
-            grown[place] = values
-            made.append(grown)
-        bwt, lcp, owner, depth = made
+        moved = np.flatnonzero(old)
+        grown[moved] = entries
+        grown[place] = who.astype(u8) << u8(24) | u8(step) << u8(16) | mine.astype(u8) << u8(8) | symbols.astype(u8)
         after = place + 1
-        inside = after < len(lcp)
-        lcp[after[inside]] = np.where(old[after[inside]], next_[inside], lcp[after[inside]])
-        fresh = ~old
-    return owner, depth, lcp
+        inside = after < len(grown)
+        after, next_ = after[inside], next_[inside]
+        held = old[after]
+        after = after[held]
+        grown[after] = grown[after] & ~u8(0xFF00) | next_[held].astype(u8) << u8(8)
+        entries = grown
+        more = np.sort((symbols << 32 | place)[symbols > 0])
+        leads = leads & ~low | moved.astype(np.int32)[leads & low]
+        at = np.searchsorted(leads, more)
+        leads = np.insert(leads, at, more)
+        rank = at + np.arange(len(more))
+    entries = np.asarray(entries)
+    return (entries >> u8(24)).astype(np.int64), (entries >> u8(16) & u8(255)).astype(np.int64), (entries >> u8(8) & u8(255)).astype(np.int64)
 
 
 def repeats(strings, ids, rids, starts, length: int):
