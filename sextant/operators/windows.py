@@ -59,9 +59,9 @@ def expanding_quantile_flag(df: DataFrame, day: str, order: str, value: str, q:
     m = F.date_format(day, "yyyyMM").cast("int")
     rows = df.withColumn("__m", m)
     own = rows.groupBy("__m", F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    months = rows.select("__m").distinct()
-    earlier = months.join(own.withColumnRenamed("__m", "__e"), F.col("__e") < F.col("__m")).groupBy("__m", "__v").agg(F.sum("__n").alias("__n"))
-    schema = df.withColumn(threshold, F.lit(0.0)).withColumn(out, F.lit(0.0)).schema
+    months = df.select(m.alias("__to")).distinct()
+    earlier = months.join(own, F.col("__m") < F.col("__to")).select(F.col("__to").alias("__m"), "__v", "__n").groupBy("__m", "__v").agg(F.sum("__n").alias("__n"))
+    schema = df.withColumn(threshold, F.lit(None).cast("double")).withColumn(out, F.lit(None).cast("double")).schema
 
     def run(left, right):
         import numpy as np

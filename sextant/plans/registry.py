@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import texts
+from . import inference, market, records, texts
 
-_ALL = {**texts.QUERIES}
+_ALL = {**texts.QUERIES, **records.QUERIES, **market.QUERIES, **inference.QUERIES}
 QUERIES = {name: query for name, (query, _) in _ALL.items()}
 ORACLE_SQL = {name: sql for name, (_, sql) in _ALL.items() if sql}
