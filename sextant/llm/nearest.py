@@ -172,26 +172,31 @@ def nearest(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vecto
                 right = right.sort_values("vec_id")
                 v, ids = np.array(right.v.tolist()), right.vec_id.to_numpy()
                 low = lifted(v, True) @ directions
-                q, asks, bounds = np.array(left.qv.tolist()), left.query_id.to_numpy(), left.bound.to_numpy(np.float64)
-                ql = lifted(q, False) @ directions
-                for i in range(len(asks)):
-                    far = ((low - ql[i]) ** 2).sum(1)
-                    order = np.argsort(far, kind="stable")
-                    best_score, best_id, bound, at, step = np.empty(0), np.empty(0, np.int64), bounds[i], 0, 4 * k
-                    while at < len(order):
-                        # stop once the next projected distance is beyond the k-th distance's quantile
-                        if not np.isnan(bound) and far[order[at]] > quantile * max(q[i] @ q[i] + longest - 2 * bound, 0):
-                            break
-                        some = order[at : at + step]
-                        some = some[ids[some] != asks[i]]
-                        at += step
-                        best_score, best_id = np.concatenate([best_score, (v[some] * q[i]).sum(1)]), np.concatenate([best_id, ids[some]])
-                        top = np.lexsort((best_id, -best_score))[:k]
-                        best_score, best_id = best_score[top], best_id[top]
-                        if len(best_score) == k and not best_score[-1] < bound:
-                            bound = best_score[-1]
-                    good = np.isnan(bounds[i]) | (best_score >= bounds[i])
-                    out.append(pd.DataFrame({"query_id": asks[i], "vec_id": best_id[good], "score": best_score[good]}))
+                for i in range(0, len(left), 128):
+                    part = left.iloc[i : i + 128]
+                    q, asks, given = np.array(part.qv.tolist()), part.query_id.to_numpy(), part.bound.to_numpy(np.float64)
+                    ql = lifted(q, False) @ directions
+                    far = (ql * ql).sum(1)[:, None] + (low * low).sum(1) - 2 * ql @ low.T
+                    near = q @ v.T
+                    near[asks[:, None] == ids] = -np.inf
+                    # the first candidates in projected distance give the k-th distance for the test
+                    first = np.argpartition(far, 4 * k, axis=1)[:, : 4 * k] if len(ids) > 4 * k else np.tile(np.arange(len(ids)), (len(asks), 1))
+                    bound = np.where(np.isnan(given), -np.inf, given)
+                    if first.shape[1] >= k:
+                        seen = np.take_along_axis(near, first, 1)
+                        bound = np.maximum(bound, np.partition(seen, -k, axis=1)[:, -k])
+                    # candidates are verified as far out as the test lets the query go
+                    squares = np.maximum((q * q).sum(1) + longest - 2 * bound, 0)
+                    near[far > quantile * squares[:, None]] = -np.inf
+                    if len(ids) > k:
+                        bound = np.maximum(bound, np.partition(near, -k, axis=1)[:, -k])
+                    row, col = np.nonzero((near >= bound[:, None] - 1e-9) & (near > -np.inf))
+                    score = (v[col] * q[row]).sum(1)
+                    by = np.lexsort((ids[col], -score, row))
+                    row, col, score = row[by], col[by], score[by]
+                    rank = np.arange(len(row)) - np.searchsorted(row, row)
+                    good = (rank < k) & ~(score < given[row])
+                    out.append(pd.DataFrame({"query_id": asks[row[good]], "vec_id": ids[col[good]], "score": score[good]}))
             return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
         keys = ["cell", "shard", "block"]
