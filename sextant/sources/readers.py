@@ -94,7 +94,7 @@ def html_tables(pages: DataFrame, keys: list[str], html: str) -> DataFrame:
         import pandas as pd
 
         for pdf in batches:
-            rows = [(*k, i, list(r.items())) for *k, h in pdf.itertuples(index=False) for i, r in enumerate(table_rows(h))]
+            rows = [(*k, i, r) for *k, h in pdf.itertuples(index=False) for i, r in enumerate(table_rows(h))]
             yield pd.DataFrame(rows, columns=[*keys, "row", "cells"])
 
     return pages.select(*keys, html).mapInPandas(run, f"{fields}, row long, cells map<string,string>")
