@@ -9,6 +9,7 @@ from .html_extract import op4_html_extract
 from .line_dedup import op8_line_dedup
 from .nearest import op2_nearest
 from .packing import op1_packing
+from .pieces import op5_sentencepiece
 from .quality import op3_quality
 from .suffix_dedup import op6_suffix_dedup
 
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_nearest": op2_nearest,
     "op3_quality": op3_quality,
     "op4_html_extract": op4_html_extract,
+    "op5_sentencepiece": op5_sentencepiece,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_chat_format": op7_chat_format,
     "op8_line_dedup": op8_line_dedup,
