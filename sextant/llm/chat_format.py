@@ -130,9 +130,10 @@ def json_turns(df: DataFrame, key: str, payload: str) -> DataFrame:
     body = F.col(payload)
     known = F.array(*[F.lit(x) for x in KNOWN])
     paths = F.coalesce(F.json_object_keys(body), F.array().cast("array<string>"))
+    under = lambda name: lambda x: F.concat(F.lit(f"{name}[]."), x)
     for name in LISTS:
         inner = F.coalesce(F.json_object_keys(F.get_json_object(body, f"$.{name}[0]")), F.array().cast("array<string>"))
-        paths = F.concat(paths, F.transform(inner, lambda x, n=name: F.concat(F.lit(f"{n}[]."), x)))
+        paths = F.concat(paths, F.transform(inner, under(name)))
     mark = F.sha2(F.array_join(F.array_sort(F.array_intersect(paths, known)), "\n"), 256)
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for hashed, x in BY_FINGERPRINT.items():
