@@ -65,7 +65,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     neighbours costs a window-free join against one minimum per node.
     Nulls and self loops are dropped; an empty input gives an empty result.
     """
-    spark = edges.sparkSession
+    from pyspark.sql import Observation
+
     kind = edges.schema["a"].dataType
     edges = materialise(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
@@ -76,13 +77,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lows = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: every larger neighbour is tied to the smallest node around
-        large = both.where("b > a").join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialise(large.where("a <> b").distinct())
+        large = both.where("b > a").join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small star: the node and its smaller neighbours are tied to the smallest of them
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        edges = materialise(small.union(floor.select("a", F.col("m").alias("b"))).distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen = Observation()
+        next_ = small.union(floor.select("a", F.col("m").alias("b"))).distinct()
+        edges = materialise(next_.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")))
+        now = seen.get["n"], seen.get["s"]
         if now == before:
             break
         before = now
@@ -108,7 +110,7 @@ def by_key(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: st
     hot = lookup.where(heavy).select(F.col(key).alias("__hot"), F.struct(F.lit(1).alias("__one"), *values).alias("__h"))
     cold = lookup.where(~heavy).select(F.xxhash64(key).alias("__to"), F.col(key).alias("__cold"), F.struct(*values).alias("__c"))
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
-    out = out.withColumn("__from", F.when(F.col("__h").isNull(), F.xxhash64(key)).otherwise(F.xxhash64(F.lit("hot"), spread)))
+    out = out.withColumn("__from", F.when(F.col("__h").isNull() & F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(F.lit("hot"), spread)))
     out = out.join(cold, (F.col("__from") == F.col("__to")) & (F.col(key) == F.col("__cold")), "left")
     picked = [F.when(F.col("__h").isNull(), F.col("__c")[v]).otherwise(F.col("__h")[v]).alias(v) for v in values]
     return out.select(*rows.columns, *picked)
