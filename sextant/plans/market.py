@@ -94,7 +94,7 @@ def first_day_record(spark, sf_dir):
     start = day.groupBy("user_id").agg(F.min("day").alias("first"))
     at = start.select("user_id", F.date_add("first", (F.col("user_id") % 12 - 4).cast("int")).alias("at"), F.when(F.col("user_id") % 5 != 0, 50.0 + F.col("user_id") % 40).alias("offer"))
     out = prices.first_day(at, day, "user_id", "at", "offer", "day", "open", "close")
-    return out.select("user_id", "status", F.coalesce("lag_days", F.lit(-1)).alias("lag_days"), *[F.round(c, 6).alias(c) for c in ("first_open", "first_close", "first_return", "week_return", "month_return")])
+    return out.select("user_id", "status", F.coalesce("lag_days", F.lit(-1)).cast("long").alias("lag_days"), *[F.round(c, 6).alias(c) for c in ("first_open", "first_close", "first_return", "week_return", "month_return")])
 
 
 FIRST_DAY = f"""with {_DAYS}, f as (select user_id, min(day) as h from d group by 1), e as (select user_id, h, h + (user_id % 12 - 4)::int as dt, case when user_id % 5 <> 0 then 50.0 + user_id % 40 end as offer from f),
