@@ -77,7 +77,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lows = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         # large star: every larger neighbour is tied to the smallest node around
-        large = both.where("b > a").join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        large = both.where("b > a").join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: the node and its smaller neighbours are tied to the smallest of them
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
