@@ -242,12 +242,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     counted = materialise(rows.select("text").mapInArrow(names, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1"))
     total = counted.agg(F.sum("n")).first()[0] or 0
     split = {r[0] for r in counted.where(F.col("n") >= max(MANY, total / 2000)).select("name").collect()}  # 2,000 at most
-    maps = counted.groupBy(F.expr(f"bitmap_bucket_number(pmod(name, {1 << FILTER_BITS}L))").alias("b")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position(pmod(name, {1 << FILTER_BITS}L)))").alias("bits"))
-    bits = bytearray(1 << FILTER_BITS >> 3)  # 16 MB, whatever the input's size
-    for r in maps.toLocalIterator():
-        # bucket b holds positions (b - 1) * 32768 + 1 .. b * 32768 of the values counted from 1
-        bits[(r.b - 1) * 4096 : r.b * 4096] = r.bits
-    shared = spark.sparkContext.broadcast((bytes(bits), split))
+    shared = spark.sparkContext.broadcast((name_map(counted), split))
 
     def pieces(batches):
         import numpy as np
@@ -280,9 +275,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rids, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for parts in _blocks(batch.column(2), length):
                 part, start, size, name, _ = runs(parts, length)
-                # bit positions count from 0 inside buckets that count from 1
-                at = (name.astype(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-                place = _bit_place(at)
+                place = _bit_place(name)
                 hit = np.flatnonzero((held[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
                 for p, s, w, key in zip(part[hit].tolist(), start[hit].tolist(), size[hit].tolist(), name[hit].tolist()):
                     row, offset, data = parts[p]
@@ -347,12 +340,25 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return cut.repartition("key").mapInArrow(sorted_pieces, ROWS).select("rid", "start", "stop")
 
 
-def _bit_place(value):
-    """Where Spark's bitmap functions put a non-negative value in the concatenated buckets."""
+def name_map(names: DataFrame) -> bytes:
+    """A map of 2^FILTER_BITS bits (16 MB, whatever the input's size) in which the bit of each name is set."""
+    # Spark's buckets count from 1 and hold the values from 1 on; its bucket of the value 0 is no bucket of the map
+    value = f"pmod(name, {1 << FILTER_BITS}L) + 1"
+    maps = names.groupBy(F.expr(f"bitmap_bucket_number({value})").alias("b")).agg(F.expr(f"bitmap_construct_agg(bitmap_bit_position({value}))").alias("bits"))
+    size = 1 << FILTER_BITS >> 3
+    bits = bytearray(size)
+    for r in maps.toLocalIterator():
+        bits[(r.b - 1) * 4096 : r.b * 4096] = r.bits
+        if len(bits) != size:
+            raise AssertionError(f"bucket {r.b} does not fit the map of names")
+    return bytes(bits)
+
+
+def _bit_place(name):
+    """The place of each name's bit in name_map."""
     import numpy as np
 
-    # bucket 1 + (v - 1) // 32768 and position (v - 1) % 32768 for v > 0; v = 0 has bucket 1 + 0, position 0
-    return np.where(value > 0, value - 1, 0)
+    return (name.astype(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
 
 
 def with_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

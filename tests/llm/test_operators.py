@@ -298,6 +298,18 @@ def test_repeats(table, monkeypatch, many):
         assert cut.columns == df.columns and cut.count() == len(rows) and suffix_dedup.remove_repeats(table([])).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [12, 211])
+def test_name_map_holds_every_residue(spark, partitions):
+    n = 1 << suffix_dedup.FILTER_BITS
+    last = 3 * n - 32768
+    names = np.array([0, n, -n, n - 1, -1, last, last + 7, 5 * n + 40_000] + ([1] if partitions == 12 else []), np.int64)
+    df = spark.createDataFrame([(int(x),) for x in names], "name long").repartition(partitions, "name")
+    held = np.frombuffer(suffix_dedup.name_map(df), np.uint8)
+    place = suffix_dedup._bit_place(names)
+    assert len(held) == n >> 3 and all((held[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+    assert int(np.unpackbits(held).sum()) == len(set((names % n).tolist()))
+
+
 # lines
 
 
