@@ -326,6 +326,52 @@ def test_lines(table):
     assert line_dedup.line_dedup(table([])).count() == 0
 
 
+def distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, c in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, d in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != d))
+    return row[-1]
+
+
+def test_edited_lines_become_candidates(table):
+    """Each line beside an edited copy of it, short lines and lines without blanks among them; at 0.8 with letters strewn over the line."""
+    r = random.Random(11)
+    rows, pairs = [], Counter()
+    for k in range(960):
+        edit = ("letter", "word", "tenth", "fifth")[k % 4]
+        size = r.choice((7, 12, 18, 30, 60, 120, 300, 700))
+        x = "".join(r.choice("abcdefghijklmnopqrstuvwxyz" + "      " * (k // 4 % 4 > 0)) for _ in range(size))
+        x = line = " ".join(x.split()) or "abcdefg"
+        if edit == "word":
+            w = x.split(" ")
+            at = r.randrange(len(w))
+            w[at] = "".join(r.choice("abcdefghij") for _ in w[at])
+            x = " ".join(w)
+        else:
+            y, letters = list(x), [i for i, c in enumerate(x) if c != " "]
+            for p in r.sample(letters, min(max(1, {"letter": 1, "tenth": len(x) // 10, "fifth": len(x) // 5}[edit]), len(letters))):
+                y[p] = chr(0x3B1 + r.randrange(17))
+            x = "".join(y)
+        longer = max(len(x), len(line))
+        if x != line and longer >= 6 and distance(x, line) <= int(longer * 0.2 + 1e-9):
+            rows += [(2 * k, line), (2 * k + 1, x)]
+            pairs[edit] += 1
+    out = line_dedup.line_dedup(table(rows)).where("size(gone) > 0").select(F.col("row.doc_id").alias("i")).collect()
+    gone = Counter(("letter", "word", "tenth", "fifth")[x.i // 2 % 4] for x in out)
+    print({k: (gone[k], n) for k, n in pairs.items()})
+    assert all(pairs[k] > 90 and least * pairs[k] <= gone[k] <= pairs[k] for k, least in (("letter", 1), ("word", 0.99), ("tenth", 0.98), ("fifth", 0.75)))
+
+
+def test_crowded_keys(table, monkeypatch):
+    monkeypatch.setattr(line_dedup, "GRAM_LIST", 3)
+    r = random.Random(5)
+    base = "".join(r.choice("abcdefghij") for _ in range(90))
+    rows = [(i, base[: 3 * i] + "x" + base[3 * i + 1 :]) for i in range(30)] + [(100, "unlike all of the others in this table")]
+    assert line_dedup.dropped_lines(table(rows)).count() == 29
+
+
 def test_simhash(spark):
     r = random.Random(9)
     rows = [(words(r, n),) for n in (1, 5, 60, 127, 128, 300)]
