@@ -169,7 +169,7 @@ select fold, round(avg(abs(y - m)), 6) as mae_mean, round(avg(abs(y - d)), 6) as
 
 
 def ridge_cv(spark, sf_dir):
-    return models.cross_validate(_deals(spark, sf_dir), "y", ["o_orderdate", "o_orderkey"], ["c_acctbal", "month"], ["o_orderpriority"], k=3)
+    return models.cross_validate(_deals(spark, sf_dir), "y", ["o_orderdate", "o_orderkey"], ["c_acctbal", "month"], ["o_orderpriority"])
 
 
 def holdout(spark, sf_dir):

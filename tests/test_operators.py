@@ -181,3 +181,14 @@ def test_stream_counts_what_the_table_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("counts").collect())) == want
+
+
+def test_cross_validation_chooses_trees_and_winsorises(spark):
+    df = spark.createDataFrame([(i, float(i % 7), "a" if i % 2 else "b", (1e6 if i == 50 else 0.0) + 10.0 * (i % 7)) for i in range(240)], "t long, x double, c string, y double")
+    grids = {"forest": models.forest_grid(trees=3, depths=(1, 4)), "boosted": models.boosted_grid(rounds=(2,), steps=(0.1,), depths=(2,))}
+    out = {r.model: r for r in models.cross_validate(df, "y", ["t"], ["x"], ["c"], k=1, winsorise=True, trees=grids).collect()}
+    assert set(out) == {"mean", "median", "ridge", "forest", "boosted"} and out["mean"].spearman is None
+    assert out["forest"].spearman > 0.9 and out["ridge"].spearman > 0.99
+    assert out["mean"].rmse < 100  # the outlier of the training window is clipped
+    assert models.choose_trees(df, 79, "y", grids["forest"], ["x"], ["c"]) == "depth 1"
+    assert len(models.forest_grid()) == 3 and len(models.boosted_grid()) == 8
