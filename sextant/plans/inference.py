@@ -128,7 +128,7 @@ select t.test, t.p, round(case when b.p is not null then least(b.p * b.m, 1) end
 
 
 def bootstrap_medians(spark, sf_dir):
-    return stats.bootstrap(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity", draws=800)
+    return stats.bootstrap(table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity"), ["l_returnflag"], "l_quantity")
 
 
 def _deals(spark, sf_dir):
