@@ -44,7 +44,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def pieces(batches):
         import pyarrow as pa
 
-        encode, close = encoder(tokenizer).encode, close_id.to_bytes(4, "little")
+        encode, close = encoder(tokenizer).encode_text, close_id.to_bytes(4, "little")
         for batch in batches:
             keys, kind = batch.column(0), batch.schema.field(0).type
             schema = pa.schema([("id", kind), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])

@@ -8,6 +8,7 @@ its blank-led chunks, and chunks repeat: they are kept in a bounded dictionary.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 
 #: Entries kept in a worker's dictionary of chunks; what comes later is encoded each time.
@@ -36,6 +37,11 @@ class ChunkEncoder:
         ranks = {bytes(of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self._ids = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._cache: dict[str, bytes] = {}
+        added = spec.get("added_tokens", ())
+        if any(x[k] for x in added for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens that look at their surroundings are not supported")
+        self._added = {x["content"]: array("I", [x["id"]]).tobytes() for x in added}
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")") if added else None
 
     def _packed(self, text: str) -> bytes:
         return array("I", self._ids(text)).tobytes()
@@ -57,6 +63,13 @@ class ChunkEncoder:
         return (self._packed(first) if first else b"") + b"".join(found)
 
 
+    def encode_text(self, text: str) -> bytes:
+        """As encode, but an added token that stands in the text is its single id, as the library has it by default."""
+        if self._split is None or not any(x in text for x in self._added):
+            return self.encode(text)
+        return b"".join(self._added.get(x) or self.encode(x) for x in self._split.split(text) if x)
+
+
 def encoder(path: str) -> ChunkEncoder:
     """This worker's encoder for a tokenizers file."""
     if path not in _loaded:

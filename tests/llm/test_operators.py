@@ -103,6 +103,17 @@ def test_ids_are_the_tokenizers(sf_dir, spark):
     assert all(list(np.frombuffer(tokens.encoder(BPE).encode(x), "<u4")) == t.encode(x, add_special_tokens=False).ids for x in texts)
 
 
+def test_added_tokens_are_the_tokenizers(table):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(BPE)
+    texts = [x for x in ODD if x] + ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>  y", "<|endoftext|", " <|endoftext|>\n"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [list(np.frombuffer(tokens.encoder(BPE).encode_text(x), "<u4")) for x in texts] == want
+    assert want[len(texts) - 5] == [64, 220, 50256, 275]
+    assert packing.pack(table([(1, "a <|endoftext|> b")]), BPE).first().doc_tokens == 5
+
+
 def test_packing(table):
     r = random.Random(2)
     rows = [(i, t) for i, t in enumerate(ODD)] + [(99, words(r, 3000)), (99, "again"), (None, "no id")]
