@@ -192,3 +192,10 @@ def test_cross_validation_chooses_trees_and_winsorises(spark):
     assert out["mean"].rmse < 100  # the outlier of the training window is clipped
     assert models.choose_trees(df, 79, "y", grids["forest"], ["x"], ["c"]) == "depth 1"
     assert len(models.forest_grid()) == 3 and len(models.boosted_grid()) == 8
+
+
+def test_prepare_keeps_every_category(spark):
+    df = spark.createDataFrame([(f"a{i:05}",) for i in range(1200)] + [("zz",)] * 20, "c string")
+    (a, b), names = models.prepare(df, [df, spark.createDataFrame([("unseen",)], "c string")], [], ["c"])
+    assert names == ["f_c_0", "f_c_rare"] and a.agg(F.sum("f_c_0"), F.sum("f_c_rare")).first()[:] == (20.0, 1200.0)
+    assert b.first()[:] == ("unseen", 0.0, 0.0)
