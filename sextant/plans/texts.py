@@ -145,7 +145,7 @@ def page_sections(spark, sf_dir):
 
 def share_count_extract(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    banner = F.concat(F.lit("PRELIMINARY PROSPECTUS "), F.format_number(F.col("doc_id") * 7919 + 100_000, 0), F.lit(" Shares Common Stock "), F.substring("text", 1, 300))
+    banner = F.concat(F.lit("PRELIMINARY PROSPECTUS "), F.format_number(F.col("doc_id") * 7919 + 100_000, 0), F.lit(" Shares Common Stock "), F.col("text"))
     return docs.select("doc_id", T.filed_shares(F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(banner)).alias("shares"))
 
 

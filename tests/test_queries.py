@@ -41,3 +41,14 @@ def test_against_sql(spark, sf_dir, name):
 def test_without_sql(spark, sf_dir, name):
     out = registry.QUERIES[name](spark, sf_dir)
     assert out.count() > 0
+
+
+def test_share_counts_are_read_from_whole_texts(spark, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from sextant.plans import texts
+
+    monkeypatch.setattr(texts.T, "filed_shares", F.char_length)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.char_length("text").alias("n"))
+    both = texts.share_count_extract(spark, sf_dir).join(docs, "doc_id").where("n > 300")
+    assert both.count() > 0 and both.where("shares < n").count() == 0
