@@ -7,9 +7,12 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+#: A job's shuffle files go when it ends: Spark's own setting, switched on for the jobs of materialise.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -25,19 +28,39 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dirs[app]
 
 
+def _on_file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a reread, not a recomputation.
-    The files go when the application ends.
+    This cuts the lineage: a lost executor costs a reread, not a recomputation. The job's
+    shuffle files go with the job; the table itself goes with release, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sextant-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    target, files = _on_file_system(spark, path)
+    files.deleteOnExit(target)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that materialise wrote. Nothing that is still to be run may read them."""
+    for t in tables:
+        path = getattr(t, "_written_to", None)
+        if path:
+            target, files = _on_file_system(t.sparkSession, path)
+            files.delete(target, True)
 
 
 def parts(spark: SparkSession) -> int:
@@ -60,31 +83,35 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges has columns a, b (same orderable type). Returns one row (node, component)
     per node that has an edge, component being the smallest node it can reach.
     Large-star and small-star rounds alternate, with each round's edges written to the
-    shared folder; the number of rounds grows with the logarithm of the diameter.
-    Both stars aggregate before they shuffle the neighbours, so a hub with very many
-    neighbours costs a window-free join against one minimum per node.
+    shared folder, where they replace the round's before; the number of rounds grows with the
+    logarithm of the diameter. Minima are aggregated before they are shuffled, and a hub's
+    minimum reaches its neighbours by broadcast (see by_key), so no task gets them all.
     Nulls and self loops are dropped; an empty input gives an empty result.
     """
-    from pyspark.sql import Observation
-
     kind = edges.schema["a"].dataType
-    edges = materialise(
+
+    def written(rows: DataFrame):
+        seen = Observation()
+        out = materialise(rows.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")))
+        return out, (seen.get["n"], seen.get["s"])
+
+    edges, before = written(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         .where("a is not null and b is not null and a <> b").distinct()
     )
-    before = None
     for _ in range(max_rounds):
+        n = before[0]
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lows = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        lows = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("degree"))
         # large star: every larger neighbour is tied to the smallest node around
-        large = both.where("b > a").join(lows, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        large = by_key(up, lows, "a", "degree", "b", total=2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: the node and its smaller neighbours are tied to the smallest of them
-        floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        seen = Observation()
-        next_ = small.union(floor.select("a", F.col("m").alias("b"))).distinct()
-        edges = materialise(next_.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")))
-        now = seen.get["n"], seen.get["s"]
+        floor = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+        small = by_key(large, floor, "a", "degree", "b", total=n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
+        next_, now = written(small.union(floor.select("a", F.col("m").alias("b"))).distinct())
+        release(edges)
+        edges = next_
         if now == before:
             break
         before = now
@@ -92,20 +119,23 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("the components did not settle")
     pairs = edges.groupBy("a").agg(F.min("b").alias("component"))
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    out = pairs.select(F.col("a").alias("node"), "component").union(roots)
-    return out.select(F.col("node").cast(kind), F.col("component").cast(kind))
+    out = materialise(pairs.select(F.col("a").cast(kind).alias("node"), F.col("component").cast(kind)).union(roots.select(F.col("node").cast(kind), F.col("component").cast(kind))))
+    release(edges)
+    return out
 
 
-def by_key(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
+def by_key(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: str, total: int | None = None) -> DataFrame:
     """Left join of rows to lookup on key when a few keys may hold most rows.
 
     lookup is unique on key and has a column weight, the rows that its key stands for.
     Keys with at least 1/2000 of the total weight (2,000 at most, by arithmetic) are joined by
     broadcast; rows of such keys take part in the shuffled join under keys of their own, from
-    column spread, so no task gets them all. weight is dropped.
+    column spread, so no task gets them all. weight is dropped. total, where it is known, is
+    (at least) the sum of the weights.
     """
     values = [c for c in lookup.columns if c not in (key, weight)]
-    total = lookup.agg(F.sum(weight)).first()[0] or 0
+    if total is None:
+        total = lookup.agg(F.sum(weight)).first()[0] or 0
     heavy = F.col(weight) >= max(1000, total / 2000)
     hot = lookup.where(heavy).select(F.col(key).alias("__hot"), F.struct(F.lit(1).alias("__one"), *values).alias("__h"))
     cold = lookup.where(~heavy).select(F.xxhash64(key).alias("__to"), F.col(key).alias("__cold"), F.struct(*values).alias("__c"))

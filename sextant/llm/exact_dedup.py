@@ -39,7 +39,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """One row per group of two or more equal texts: digest, part, keep_id, keep_rid, group_size.
 
-    part tells apart different texts of one digest (always 0 unless SHA-256 collides).
+    part, a hash of the text, tells apart different texts of one digest.
     """
     rows = _keyed(docs, id_col, text_col)
     # null ids sort last

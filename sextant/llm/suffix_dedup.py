@@ -29,7 +29,7 @@ import tempfile
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 
 LENGTH, GRAM = 100, 32
 #: Bytes hashed at once; positions take POS_BITS of a packed value.
@@ -243,6 +243,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     total = counted.agg(F.sum("n")).first()[0] or 0
     split = {r[0] for r in counted.where(F.col("n") >= max(MANY, total / 2000)).select("name").collect()}  # 2,000 at most
     shared = spark.sparkContext.broadcast((name_map(counted), split))
+    release(counted)
 
     def pieces(batches):
         import numpy as np
