@@ -4,14 +4,19 @@ Five stages, each of which works on all that its predecessor kept: documents of
 exact copies go, one document of each group of near-duplicates stays, passages that an
 earlier document has are cut out, and the rest is packed into sequences. All stages but
 the last return the columns of documents. A run writes every stage to the shared folder
-and reads it again, so a lost executor costs no earlier stage.
+and reads it again, so a lost executor costs no earlier stage; a stage's table goes when the
+next one is written.
+
+Defined results: a null text is an empty one (kept by the first stage, then one of equal texts,
+linked with nothing, packed as the closing id); a null doc_id stays null; rows that repeat a
+doc_id and text are copies; empty tables give empty results; other columns are carried along.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sextant.llm.common import materialise, table
+from sextant.llm.common import materialise, release, table
 from sextant.llm.exact_dedup import exact_dedup
 from sextant.llm.near_dedup import near_dedup
 from sextant.llm.packing import pack
@@ -58,7 +63,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before, docs = docs, materialise(stage(spark, docs, sf_dir))
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
