@@ -26,19 +26,21 @@ def counts_with_share(df: DataFrame, by: str) -> DataFrame:
     return out.crossJoin(F.broadcast(df.agg(F.count("*").alias("__all")))).select(by, "n", (100 * F.col("n") / F.col("__all")).alias("pct"))
 
 
-def funnel(df: DataFrame, steps: list[tuple[str, F.Column]]) -> DataFrame:
-    """(step, n, dropped, pct): rows left at each condition, in one pass."""
+def funnel(df: DataFrame, steps: list[tuple[str, F.Column]], only_drops: bool = False) -> DataFrame:
+    """(at, step, n, dropped, pct): rows left at each condition, in one pass; only_drops leaves out later steps that drop nothing."""
     one = df.agg(*[F.count_if(c).alias(f"s{i}") for i, (_, c) in enumerate(steps)])
     rows = F.array(*[F.struct(F.lit(i).alias("at"), F.lit(name).alias("step"), F.col(f"s{i}").alias("n"), F.col(f"s{max(i - 1, 0)}").alias("before"), F.col("s0").alias("first")) for i, (name, _) in enumerate(steps)])
     r = one.select(F.inline(rows))
-    return r.select("at", "step", "n", (F.col("before") - F.col("n")).alias("dropped"), F.when(F.col("first") > 0, 100 * F.col("n") / F.col("first")).alias("pct"))
+    out = r.select("at", "step", "n", (F.col("before") - F.col("n")).alias("dropped"), F.when(F.col("first") > 0, 100 * F.col("n") / F.col("first")).alias("pct"))
+    return out.where("at = 0 or dropped > 0") if only_drops else out
 
 
 def spread(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """n, std, interquartile range and median absolute deviation."""
     c = F.col(x)
     first = df.where(c.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp(c).alias("std"), F.percentile(c, F.array(*[F.lit(s) for s in (0.25, 0.5, 0.75)])).alias("q"))
-    mid = df.where(c.isNotNull()).join(F.broadcast(first.select(*by, F.col("q")[1].alias("__m"))), by).groupBy(*by).agg(F.percentile(F.abs(c - F.col("__m")), F.lit(0.5)).alias("mad"))
+    # a row a group: Spark broadcasts the medians where they are small
+    mid = df.where(c.isNotNull()).join(first.select(*by, F.col("q")[1].alias("__m")), by).groupBy(*by).agg(F.percentile(F.abs(c - F.col("__m")), F.lit(0.5)).alias("mad"))
     return first.join(mid, by).select(*by, "n", "std", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "mad")
 
 
@@ -59,6 +61,26 @@ def spearman(df: DataFrame, x: str, y: str) -> tuple[float | None, float | None,
     return rho, dist.correlation_p(rho, n) if rho is not None else None, n
 
 
+def pearson(df: DataFrame, x: str, y: str) -> tuple[float | None, float | None, int]:
+    """(r, p, n) over complete rows."""
+    r, n = df.select(x, y).na.drop().agg(F.corr(x, y), F.count("*")).first()
+    r = None if r is None or math.isnan(r) else r
+    return r, dist.correlation_p(r, n) if r is not None else None, n
+
+
+def pivot_medians(df: DataFrame, row: str, column: str, x: str, least: int = 5) -> DataFrame:
+    """(row, column, n, median, place): cells of a pivot in long form, the median null under least rows; place orders rows by their totals, largest first."""
+    cells = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count("*").alias("n"), F.percentile(x, F.lit(0.5)).alias("m"))
+    totals = cells.groupBy(row).agg(F.sum("n").alias("__t")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("__t"), row)).cast("long"))  # a row for each label
+    return cells.join(totals.drop("__t"), row).select(row, column, "n", F.when(F.col("n") >= least, F.col("m")).alias("median"), "place")
+
+
+def extremes(df: DataFrame, by: list[str], x: str, key: str) -> DataFrame:
+    """The whole row with the largest x of each group; ties go to the largest key."""
+    best = df.where(F.col(x).isNotNull()).groupBy(*by).agg(F.max_by(F.struct(*df.columns), F.struct(x, key)).alias("r"))
+    return best.select("r.*")
+
+
 def gram(df: DataFrame, columns: list[str]):
     """(matrix of sums of products, n) as numpy, with a leading constant; k * k numbers come to the driver."""
     import numpy as np
@@ -78,6 +100,8 @@ def partial_spearman(df: DataFrame, x: str, y: str, controls: list[str]) -> dict
     import numpy as np
 
     rows = df.select(x, y, *controls).na.drop()
+    spans = rows.agg(*[(F.min(c) != F.max(c)).alias(f"v{i}") for i, c in enumerate(controls)]).first() if controls else []
+    controls = [c for c, varies in zip(controls, spans) if varies]  # a constant explains nothing
     for c in (x, y, *controls):
         rows = average_rank(rows, c, f"__r_{c}")
     g, n = gram(rows, [f"__r_{c}" for c in (*controls, x, y)])

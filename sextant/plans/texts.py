@@ -54,6 +54,7 @@ TONE = f"with {_SHARES} select doc_id, n_tokens, category, hits, round(share, 6)
 def tone_by_bin(spark, sf_dir):
     """The flagship: lexicon share of each document, its quintile, and the labelled outcome by quintile."""
     shares = D.lexicon_shares(table(spark, sf_dir, "documents"), ["doc_id"], "text", lexicon(spark)).where("category = 'litigious'").select("doc_id", "share")
+    shares = shares.persist()  # read for the edges and for the bins
     binned = binning.qcut(shares, "share", 5, "bin").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
     return binned.groupBy("bin").agg(F.count("*").alias("n"), F.count("quality").alias("n_labelled"), F.round(F.avg("share"), 6).alias("mean_share"), F.round(F.percentile("share", F.lit(0.5)), 6).alias("median_share"), F.round(F.avg("quality"), 6).alias("mean_quality"))
 
