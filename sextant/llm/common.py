@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: A job's shuffle files go when it ends: Spark's own setting, switched on for the jobs of materialise.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows of a task in the steps whose number of rows is known beforehand.
+TASK_ROWS = 100_000
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -68,6 +71,15 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def in_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more tasks than its (known or greatest) number of rows calls for, 8 at least; large tables stay as they are.
+
+    After a shuffle this joins neighbouring partitions into one task, as adaptive execution does where it may.
+    """
+    n = max(8, -(-rows // TASK_ROWS))
+    return df.coalesce(n) if n < parts(df.sparkSession) else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -102,14 +114,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         n = before[0]
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lows = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("degree"))
+        lows = in_tasks(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("degree")), n)
         # large star: every larger neighbour is tied to the smallest node around
         up = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
         large = by_key(up, lows, "a", "degree", "b", total=2 * n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         # small star: the node and its smaller neighbours are tied to the smallest of them
-        floor = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree"))
+        floor = in_tasks(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("degree")), n)
         small = by_key(large, floor, "a", "degree", "b", total=n).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        next_, now = written(small.union(floor.select("a", F.col("m").alias("b"))).distinct())
+        next_, now = written(in_tasks(small.union(floor.select("a", F.col("m").alias("b"))).distinct(), 2 * n))
         release(edges)
         edges = next_
         if now == before:
@@ -117,8 +129,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         before = now
     else:
         raise RuntimeError("the components did not settle")
-    pairs = edges.groupBy("a").agg(F.min("b").alias("component"))
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    n = before[0]
+    pairs = in_tasks(edges.groupBy("a").agg(F.min("b").alias("component")), n)
+    roots = in_tasks(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct(), n)
     out = materialise(pairs.select(F.col("a").cast(kind).alias("node"), F.col("component").cast(kind)).union(roots.select(F.col("node").cast(kind), F.col("component").cast(kind))))
     release(edges)
     return out
@@ -131,9 +144,10 @@ def by_key(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: st
     Keys with at least 1/2000 of the total weight (2,000 at most, by arithmetic) are joined by
     broadcast; rows of such keys take part in the shuffled join under keys of their own, from
     column spread, so no task gets them all. weight is dropped. total, where it is known, is
-    (at least) the sum of the weights.
+    at least the sum of the weights and the number of rows.
     """
     values = [c for c in lookup.columns if c not in (key, weight)]
+    size = total
     if total is None:
         total = lookup.agg(F.sum(weight)).first()[0] or 0
     heavy = F.col(weight) >= max(1000, total / 2000)
@@ -142,5 +156,6 @@ def by_key(rows: DataFrame, lookup: DataFrame, key: str, weight: str, spread: st
     out = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
     out = out.withColumn("__from", F.when(F.col("__h").isNull() & F.col(key).isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(F.lit("hot"), spread)))
     out = out.join(cold, (F.col("__from") == F.col("__to")) & (F.col(key) == F.col("__cold")), "left")
+    out = out if size is None else in_tasks(out, size)
     picked = [F.when(F.col("__h").isNull(), F.col("__c")[v]).otherwise(F.col("__h")[v]).alias(v) for v in values]
     return out.select(*rows.columns, *picked)
