@@ -7,7 +7,8 @@ Every byte covered by a string of LENGTH bytes that also starts earlier is remov
    as short strings. Names are counted over all texts; a bit map of fixed size with the names that occur
    twice or more drops the rest (false positives cost time only).
 2. A map task keeps one copy of equal strings; all other copies are repeats for certain.
-3. Strings are dealt by name and sorted column-wise: each round inserts one symbol of each
+3. Strings are dealt by name and arrive in its order. Names left with two different strings or more (or one
+   whose named gram stands there twice) are sorted column-wise: each round inserts one symbol of each
    string and updates the collection's Burrows-Wheeler transform and common prefixes.
    Columns that outgrow memory stand in sequential scratch files of the task, which go
    with it. Neighbours with a common prefix of LENGTH or more are equal windows.
@@ -208,6 +209,7 @@ def repeats(strings, ids, rids, starts, length: int):
     return owner[first], offset[first], offset[stop] + length
 
 
+#: Strings hold in stop whether their named gram stands there twice (1); stretches found have no piece.
 ROWS = "key long, piece binary, id long, rid long, start long, stop long"
 
 
@@ -259,34 +261,34 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             else:
                 out.append((rid, None, id_, rid, start, stop))
 
-        def add(key, piece, place):
+        def add(key, piece, place, twice):
             known = seen.get(piece)
             if known is None:
-                seen[piece] = (key, place)
+                seen[piece] = (key, place, twice)
             else:
                 first, later = (place, known[1]) if place < known[1] else (known[1], place)
-                seen[piece] = (key, first)
+                seen[piece] = (key, first, twice or known[2])
                 full(*later, later[2] + len(piece))
 
         def drained():
-            out.extend((key, piece, *place, place[2] + len(piece)) for piece, (key, place) in seen.items())
+            out.extend((key, piece, *place, twice) for piece, (key, place, twice) in seen.items())
             seen.clear()
 
         for batch in batches:
             rids, ids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for parts in _blocks(batch.column(2), length):
-                part, start, size, name, _ = runs(parts, length)
+                part, start, size, name, twice = runs(parts, length)
                 place = _bit_place(name)
                 hit = np.flatnonzero((held[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
-                for p, s, w, key in zip(part[hit].tolist(), start[hit].tolist(), size[hit].tolist(), name[hit].tolist()):
+                for p, s, w, key, t in zip(part[hit].tolist(), start[hit].tolist(), size[hit].tolist(), name[hit].tolist(), twice[hit].astype(np.int64).tolist()):
                     row, offset, data = parts[p]
                     id_, rid = int(ids[row]), int(rids[row])
                     if key in split:
                         for k in range(s, s + w):
                             window = data[k : k + length]
-                            add(xxh3_64_intdigest(window) >> 1, window, (id_, rid, offset + k))
+                            add(xxh3_64_intdigest(window) >> 1, window, (id_, rid, offset + k), 0)
                     else:
-                        add(key, data[s : s + w + length - 1], (id_, rid, offset + s))
+                        add(key, data[s : s + w + length - 1], (id_, rid, offset + s), t)
                 if len(seen) > LOCAL_STRINGS:
                     drained()
                 if len(out) > 20_000:
@@ -297,48 +299,54 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield _rows(out[i : i + 20_000])
 
     def sorted_pieces(batches):
+        """Rows come in the order of their keys, so a task holds one collection at a time."""
         import numpy as np
 
-        seen: dict[bytes, tuple] = {}
-        out = []
+        out, held = [], []  # held: strings of finished names that need sorting
+        seen: dict[bytes, tuple] = {}  # the strings of the name at hand
+
+        def finished():
+            # a name's only string has no two equal windows, unless its gram stands there twice
+            if len(seen) > 1 or any(twice for _, twice in seen.values()):
+                held.extend((place, piece) for piece, (place, _) in seen.items())
+            seen.clear()
+
+        def sort():
+            places = np.array([x[0] for x in held], np.int64)
+            for k, a, b in zip(*(v.tolist() for v in repeats([x[1] for x in held], places[:, 0], places[:, 1], places[:, 2], length))):
+                id_, rid, start = held[k][0]
+                out.append((None, None, id_, rid, start + a, start + b))
+            held.clear()
+
+        last = None
         for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            for key, piece, *place, stop in zip(*cols):
+            for key, piece, *place, stop in zip(*[c.to_pylist() for c in batch.columns]):
                 if piece is None:
                     out.append((None, None, *place, stop))
                     continue
+                if key != last:
+                    finished()
+                    last = key
+                    if len(held) >= COLLECTION:
+                        sort()
                 place = tuple(place)
                 known = seen.get(piece)
                 if known is None:
-                    seen[piece] = (key, place)
+                    seen[piece] = (place, stop)
                 else:
-                    first, later = (place, known[1]) if place < known[1] else (known[1], place)
-                    seen[piece] = (key, first)
+                    first, later = (place, known[0]) if place < known[0] else (known[0], place)
+                    seen[piece] = (first, stop or known[1])
                     out.append((None, None, *later, later[2] + len(piece)))
             if len(out) > 20_000:
                 yield _rows(out)
                 out.clear()
-        held = sorted(((key, place, piece) for piece, (key, place) in seen.items()), key=lambda x: x[0])
-        seen.clear()
-        at = 0
-        while at < len(held):
-            end = min(at + COLLECTION, len(held))
-            while end < len(held) and held[end][0] == held[end - 1][0]:
-                end += 1
-            some = held[at:end]
-            at = end
-            strings = [x[2] for x in some]
-            places = np.array([x[1] for x in some], np.int64)
-            for k, a, b in zip(*(v.tolist() for v in repeats(strings, places[:, 0], places[:, 1], places[:, 2], length))):
-                id_, rid, start = some[k][1]
-                out.append((None, None, id_, rid, start + a, start + b))
-            if len(out) > 20_000:
-                yield _rows(out)
-                out.clear()
+        finished()
+        if held:
+            sort()
         yield _rows(out)
 
     cut = rows.select("rid", "id", "text").mapInArrow(pieces, ROWS)
-    return cut.repartition("key").mapInArrow(sorted_pieces, ROWS).select("rid", "start", "stop")
+    return cut.repartition("key").sortWithinPartitions("key").mapInArrow(sorted_pieces, ROWS).select("rid", "start", "stop")
 
 
 def name_map(names: DataFrame) -> bytes:
