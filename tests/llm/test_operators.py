@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, empty and repeated rows, ties and clashing column names."""
 
 import hashlib
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -213,6 +214,70 @@ def test_quality_both_scorers_agree_and_junk_goes(spark, table):
     assert quality.score(df, labels.limit(0)).where("kept").count() == len(docs) and quality.score(df.limit(0), labels).count() == 0
 
 
+def _kneser_ney(trained, order=4):
+    """Interpolated modified Kneser-Ney from dictionaries: a function of a 4-gram of code units."""
+    def units(t):
+        raw = t.encode("utf-16-le", "surrogatepass")
+        return [0xFFFF] * (order - 1) + [int.from_bytes(raw[i : i + 2], "little") for i in range(0, len(raw), 2)]
+
+    counts = {order: Counter()}
+    for t in trained:
+        u = units(t or "")
+        counts[order].update(tuple(u[i : i + order]) for i in range(len(u) - order + 1))
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    discounts, totals, taken = {}, {}, {}
+    for k in counts:
+        n1, n2, n3, n4 = (max(sum(v == i for v in counts[k].values()), 1) for i in range(1, 5))
+        y = n1 / (n1 + 2 * n2)
+        d = [0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3]
+        discounts[k] = [min(max(v, 0), i) for i, v in enumerate(d)]
+        totals[k], taken[k] = Counter(), Counter()
+        for g, n in counts[k].items():
+            totals[k][g[:-1]] += n
+            taken[k][g[:-1]] += discounts[k][min(n, 3)]
+
+    def p(g):
+        if not g:
+            return 1 / 65536
+        k, lower = len(g), p(g[1:])
+        if g[:-1] not in totals[k]:
+            return lower
+        n = counts[k][g]
+        own = (n - discounts[k][min(n, 3)]) / totals[k][g[:-1]] if n else 0
+        return own + taken[k][g[:-1]] / totals[k][g[:-1]] * lower
+
+    def perplexity(t):
+        u = units(t)
+        grams = [tuple(u[i : i + order]) for i in range(len(u) - order + 1)]
+        return math.exp(-sum(math.log(p(g)) for g in grams) / len(grams))
+
+    return perplexity
+
+
+def test_perplexity_against_dictionaries(spark, table):
+    r = random.Random(9)
+    word = lambda letters: "".join(r.choice(letters) for _ in range(r.randint(1, 6)))
+    line = lambda: " ".join(word(r.choice(["abcde", "αβγδ", "漢字仮名", "é😀🙂"])) for _ in range(r.randint(1, 30)))
+    docs = [(i, line(), r.choice(["en", "el", None])) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 60, 3)], "doc_id long, quality int")
+    perplexity = _kneser_ney([t for i, t, _ in docs if i % 3 == 0])
+    for rows in (quality.MODEL_ROWS, 0):
+        got = {x.id: x.perplexity for x in quality.score(table(docs, "doc_id long, text string, lang string"), labels, model_rows=rows).collect()}
+        assert all(got[i] == pytest.approx(perplexity(t), rel=1e-9) for i, t, _ in docs)
+
+
+def test_a_language_with_few_trusted_texts_is_not_rejected_whole(spark, table):
+    r = random.Random(4)
+    text = lambda words, n=60: " ".join(r.choice(words) for _ in range(n))
+    english, french = ["the", "anthem", "resting", "there", "heat"], ["été", "où", "forêt", "naïf", "leçon"]
+    junk = lambda: "".join(chr(r.randint(33, 1000)) for _ in range(200))
+    docs = [(i, text(english), "en") for i in range(100)] + [(i, text(french), "fr") for i in range(100, 130)] + [(130, junk(), "fr"), (131, junk(), "en")]
+    labels = spark.createDataFrame([(i, 1) for i in range(50)] + [(100, 1)], "doc_id long, quality int")
+    out = quality.score(table(docs, "doc_id long, text string, lang string"), labels).where("not kept")
+    assert {x.id for x in out.collect()} == {130, 131}
+
+
 def test_model_is_a_distribution(spark):
     model = quality.train(spark.createDataFrame([("abracadabra abra",), ("cadabra",), (None,)], "text string")).toPandas()
     t = quality.Table(model.kind.to_numpy(np.int8), model.gram.to_numpy(), model.value.to_numpy())
