@@ -73,3 +73,56 @@ def rename_synonyms(df: DataFrame, synonyms: dict[str, str]) -> DataFrame:
 def long_flags(df: DataFrame, id_cols: list[str], flags: list[str], name: str = "category") -> DataFrame:
     """A row for each flag that is set."""
     return df.unpivot(id_cols, flags, name, "set").where("set > 0").drop("set")
+
+
+def log1p(x: Column) -> Column:
+    """ln(1 + x) where x is above -1, else null."""
+    return F.when(x > -1, F.log1p(x))
+
+
+def half_even(x: Column, digits: int = 0) -> Column:
+    """Rounded to digits, halves to the even neighbour."""
+    return F.bround(x, digits)
+
+
+def rank_value(raw: Column, missing: float = -9.0, less: float = 0.001, digits: int = 2) -> Column:
+    """A published rank: the sentinel is null, the rest is lowered by less and rounded."""
+    return F.round(F.nullif(raw, F.lit(missing)) - less, digits)
+
+
+def not_equal(x: Column, value) -> Column:
+    """Whether x differs from value; null does."""
+    return ~x.eqNullSafe(F.lit(value))
+
+
+def code_flags(x: Column, names: dict) -> dict[str, Column]:
+    """A 0/1 column for each code of a column of codes; null and other codes are 0 in all."""
+    return {name: x.eqNullSafe(F.lit(code)).cast("int") for code, name in names.items()}
+
+
+def any_flag(flags: list[str]) -> Column:
+    """Whether any of the flags is above zero; null is not."""
+    return sum((F.when(F.col(c) > 0, 1).otherwise(0) for c in flags), F.lit(0)) > 0
+
+
+def product_if_absent(df: DataFrame, out: str, a: str, b: str, scale: float = 1e6) -> DataFrame:
+    """Adds out = a * b / scale where the table lacks it and has both."""
+    if out in df.columns or a not in df.columns or b not in df.columns:
+        return df
+    return df.withColumn(out, F.col(a) * F.col(b) / scale)
+
+
+def by_years(df: DataFrame, id_cols: list[str], periods: dict[str, list[int]], value: str = "rank", source: str = "source") -> DataFrame:
+    """Wide columns of periods to a row for each of a period's years; columns the table lacks are left out, null values too."""
+    found = present(df, list(periods))
+    long = df.unpivot(id_cols, found, source, value).where(F.col(value).isNotNull())
+    years = F.map_from_arrays(F.array(*[F.lit(c) for c in found]), F.array(*[F.array(*[F.lit(y) for y in periods[c]]) for c in found]))
+    return long.select(*id_cols, source, F.explode(F.element_at(years, F.col(source))).alias("year"), value)
+
+
+def union_all(*tables: DataFrame) -> DataFrame:
+    """All rows under the union of the columns; a column that a table lacks is null there."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def tokens(text: Column) -> Column:
@@ -39,6 +41,43 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, "\\n{3,}", "\n\n"))
 
 
+def exact_text(html: Column) -> Column:
+    """Plain text of HTML as a parser sees it, in Arrow batches: script, style, meta and link go, character references are read,
+    pieces of text are joined by blanks, blanks and blank lines collapse. Null counts as empty."""
+    return _exact_text(html)
+
+
+def parsed_text(html: str | None) -> str:
+    from html.parser import HTMLParser
+    import re
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.skipped, self.pieces = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.skipped += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            if tag in ("script", "style") and self.skipped:
+                self.skipped -= 1
+
+        def handle_data(self, data):
+            if not self.skipped:
+                self.pieces.append(data)
+
+    reader = Reader()
+    reader.feed(html or "")
+    reader.close()
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", " ".join(reader.pieces))).strip()
+
+
+@F.pandas_udf(StringType())
+def _exact_text(html: pd.Series) -> pd.Series:
+    return html.map(parsed_text)
+
+
 #: What legal forms end a company's name.
 LEGAL_FORMS = (
     "llc|l\\.l\\.c|inc|incorporated|corp|corporation|co|company|ltd|limited|lp|l\\.p|llp|plc|ag|sa|s\\.a|nv|n\\.v|gmbh|pllc|"
@@ -72,6 +111,7 @@ def cover(text: Column, window: int = 20_000) -> Column:
 def filed_shares(text: Column, span: int = 200, chars: int = 8000) -> Column:
     """The first share count that ends within span characters after a banner; null if there is none."""
     page = F.substring(cover(text), 1, chars)
+    # fixed value: how a share count is written
     count = "\\b(\\d[\\d,]{5,})\\s+(?:shares|american\\s+depositary\\s+shares|adss|units)\\b"
     # for each banner the text in its reach; the first that has a count gives it
     reach = F.regexp_extract_all(page, F.lit(f"(?is)(?:prospectus|subject\\s+to\\s+completion)(?=(.{{0,{span}}}))"), 1)

@@ -88,3 +88,8 @@ def assemble(base: DataFrame, *dimensions: tuple[DataFrame, list[str], list[str]
     for table, keys, kept in dimensions:
         out = out.join(first_per_key(table.select(*keys, *present(table, kept)), keys, keys + present(table, kept)), keys, "left")
     return out
+
+
+def value_at(left: DataFrame, ranks: DataFrame, name: str, year: str, value: str) -> DataFrame:
+    """left with the value that a dimension (name, year, value) holds for both its name and its year; null where there is none."""
+    return left.join(first_per_key(ranks.select(name, year, value), [name, year], [value]), [name, year], "left")

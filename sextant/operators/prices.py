@@ -38,22 +38,25 @@ def split_factor(events: DataFrame, applied: DataFrame, by: str, at: str, day: s
     return joined.groupBy(*kept).agg(F.coalesce(F.product("__r"), F.lit(1.0)).alias(out))
 
 
-def first_day(events: DataFrame, prices: DataFrame, by: str, at: str, offer: str, day: str, open_: str, close: str, factor: str | None = None) -> DataFrame:
+def first_day(events: DataFrame, prices: DataFrame, by: str, at: str, offer: str, day: str, open_: str, close: str, factor: str | None = None, problem: str | None = None) -> DataFrame:
     """(by, at, status, first_day, lag, open, close, return, week and month returns) of each event; one aggregation.
 
-    Statuses in order: no_data, pre_event_history, no_close, late_first_trade, no_offer_price, ok.
+    problem names a column with what went wrong while an event's prices were fetched (null: nothing).
+    Statuses in order: fetch_error: .., no_data, pre_event_history, no_close, late_first_trade, no_offer_price, ok.
     """
     f = F.col(factor) if factor else F.lit(1.0)
-    e = events.select(by, at, offer, *([factor] if factor else []))
+    extra = [c for c in (factor, problem) if c]
+    e = events.select(by, at, offer, *extra)
     # the first trading day on or after the event
     start = e.join(prices.select(by, F.col(day).alias("__d")), by).groupBy(by, at).agg(F.min("__d").alias("history_start"), F.min(F.when(F.col("__d") >= F.col(at), F.col("__d"))).alias("first_trade_date"))
     p = prices.select(by, F.col(day).alias("__d"), F.col(open_).alias("__o"), F.col(close).alias("__c"))
     on = lambda n, c: F.min_by(c, F.when(F.col("__d") >= F.date_add("first_trade_date", n), F.col("__d")))
-    got = e.join(start, [by, at], "left").join(p, by, "left").groupBy(by, at, offer, *([factor] if factor else []), "history_start", "first_trade_date").agg(on(0, F.col("__o")).alias("o"), on(0, F.col("__c")).alias("c"), on(7, F.col("__c")).alias("c7"), on(30, F.col("__c")).alias("c30"))
+    got = e.join(start, [by, at], "left").join(p, by, "left").groupBy(by, at, offer, *extra, "history_start", "first_trade_date").agg(on(0, F.col("__o")).alias("o"), on(0, F.col("__c")).alias("c"), on(7, F.col("__c")).alias("c7"), on(30, F.col("__c")).alias("c30"))
     lag = F.datediff("first_trade_date", at)
     past = F.datediff(at, "history_start")
+    failed = F.col(problem).isNotNull() if problem else F.lit(False)
     status = (
-        F.when(F.col("history_start").isNull(), "no_data").when(past > MAX_HISTORY, F.concat(F.lit("pre_event_history_"), past, F.lit("d")))
+        F.when(failed, F.concat(F.lit("fetch_error: "), F.col(problem) if problem else F.lit(""))).when(F.col("history_start").isNull(), "no_data").when(past > MAX_HISTORY, F.concat(F.lit("pre_event_history_"), past, F.lit("d")))
         .when(F.col("c").isNull(), "no_close").when(lag > MAX_LAG, F.concat(F.lit("first_trade_"), lag, F.lit("d_after")))
         .when(F.col(offer).isNull() | (F.col(offer) <= 0), "no_offer_price").otherwise("ok")
     )

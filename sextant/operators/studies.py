@@ -184,7 +184,8 @@ def correlation_order(r) -> list[int]:
         keys = list(held)
         apart = {(a, b): float(np.mean(d[np.ix_(held[a], held[b])])) for i, a in enumerate(keys) for b in keys[i + 1 :]}
         a, b = min(apart, key=apart.get)
-        held[max(held) + 1] = held.pop(a) + held.pop(b)
+        name = max(held) + 1
+        held[name] = held.pop(a) + held.pop(b)
     return next(iter(held.values()), [])
 
 

@@ -36,6 +36,22 @@ def text_files(spark: SparkSession, path: str, skip: tuple[str, ...] = ()) -> Da
     return named.select(F.regexp_extract("base", "^(.+)_([^_]+)$", 1).alias("key"), F.regexp_extract("base", "^(.+)_([^_]+)$", 2).alias("tag"), "kind", "text", "path").where("key <> ''")
 
 
+def with_texts(rows: DataFrame, files: DataFrame, key: str, tag: str, kinds: dict[str, str]) -> DataFrame:
+    """rows with a text column for each kind of file ({kind: column}) of their key and tag; a missing file is ''."""
+    out = rows
+    for kind, column in kinds.items():
+        one = first_per_key(files.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("tag").alias(tag), F.col("text").alias(column)), [key, tag], [column])
+        out = out.join(one, [key, tag], "left").withColumn(column, F.coalesce(column, F.lit("")))
+    return out
+
+
+def read_status(rows: DataFrame, text: str, problem: str | None = None) -> DataFrame:
+    """rows with status: the problem noted while fetching ('error: ..'), 'missing' without text, 'empty', or 'ok'."""
+    noted = F.col(problem).isNotNull() if problem else F.lit(False)
+    note = F.concat(F.lit("error: "), F.col(problem)) if problem else F.lit(None)
+    return rows.withColumn("status", F.when(noted, note).when(F.col(text).isNull(), "missing").when(F.trim(F.col(text)) == "", "empty").otherwise("ok"))
+
+
 class _Table(HTMLParser):
     """The cells of #main-table, else of the first table."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import subprocess
+from collections.abc import Iterator
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,9 +74,31 @@ def write_extracts(df: DataFrame, path: str, kind: str) -> None:
     df.write.mode("overwrite").partitionBy(kind).parquet(path)
 
 
-def report(df: DataFrame, template: str, *cols: str) -> list[str]:
-    """One formatted line a row, for a console; meant for result tables."""
-    return [r[0] for r in df.select(F.format_string(template, *[F.col(c) for c in cols])).limit(1000).collect()]
+def write_pair(df: DataFrame, path: str, sample_path: str, condition: F.Column) -> tuple[int, int]:
+    """Write the whole table and the rows that meet a condition as Parquet; the numbers of rows of both."""
+    df.write.mode("overwrite").parquet(path)
+    whole = df.sparkSession.read.parquet(path)
+    whole.where(condition).write.mode("overwrite").parquet(sample_path)
+    return whole.count(), df.sparkSession.read.parquet(sample_path).count()
+
+
+def report(df: DataFrame, template: str, *cols: str) -> Iterator[str]:
+    """One formatted line a row, for a console; partitions come to the driver one after the other."""
+    return (r[0] for r in df.select(F.format_string(template, *[F.col(c) for c in cols])).toLocalIterator())
+
+
+def size_budget(spark: SparkSession, folder: str, limits: dict[str, tuple[int, int]], suffixes: tuple[str, ...] = ()) -> list[str]:
+    """What is wrong with a folder's files: missing ones, ones below or above their limits in bytes, and unexpected ones of the suffixes."""
+    fs, p = _fs(spark, folder)
+    found = {f.getPath().getName(): f.getLen() for f in fs.listStatus(p) if f.isFile()} if fs.exists(p) else {}
+    wrong = []
+    for name, (low, high) in sorted(limits.items()):
+        size = found.get(name)
+        if size is None:
+            wrong.append(f"missing: {name}")
+        elif not low <= size <= high:
+            wrong.append(f"{'too small' if size < low else 'over budget'} ({size} bytes): {name}")
+    return wrong + [f"unexpected: {n}" for n in sorted(found) if n not in limits and n.endswith(tuple(suffixes) or "\0")]
 
 
 def missing_and_extra(spark: SparkSession, expected: list[str], present: DataFrame, column: str) -> tuple[list[str], list[str]]:

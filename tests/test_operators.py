@@ -199,3 +199,116 @@ def test_prepare_keeps_every_category(spark):
     (a, b), names = models.prepare(df, [df, spark.createDataFrame([("unseen",)], "c string")], [], ["c"])
     assert names == ["f_c_0", "f_c_rare"] and a.agg(F.sum("f_c_0"), F.sum("f_c_rare")).first()[:] == (20.0, 1200.0)
     assert b.first()[:] == ("unseen", 0.0, 0.0)
+
+
+# studies
+
+
+def test_spearman_interval_and_difference(spark):
+    import numpy as np
+
+    from sextant.operators import studies
+
+    r = np.random.default_rng(3)
+    x = r.normal(size=300)
+    y = 0.6 * x + r.normal(size=300)
+    rows = [(float(a), float(b), i % 2) for i, (a, b) in enumerate(zip(x, y))] + [(None, 1.0, 0), (float("nan"), 2.0, 1)]
+    df = spark.createDataFrame(rows, "x double, y double, g int")
+    got = studies.spearman_interval(df, "x", "y", 500)
+    rank = lambda v: np.argsort(np.argsort(v))
+    rho = np.corrcoef(rank(x), rank(y))[0, 1]
+    assert got["n"] == 300 and abs(got["rho"] - rho) < 1e-9 and got["ci_low"] < rho < got["ci_high"]
+    draws = [np.corrcoef(rank(x[i]), rank(y[i]))[0, 1] for i in (r.integers(0, 300, 300) for _ in range(500))]
+    assert abs(got["ci_low"] - np.percentile(draws, 2.5)) < 0.04 and abs(got["ci_high"] - np.percentile(draws, 97.5)) < 0.04
+    diff = studies.rho_difference(df, "x", "y", "g", 200)
+    assert diff["n_1"] + diff["n_0"] == 300 and diff["ci_low"] <= diff["difference"] <= diff["ci_high"]
+    assert studies.spearman_interval(df.limit(3), "x", "y", 20)["ci_low"] is None
+
+
+def test_slopes_match_numpy(spark):
+    import numpy as np
+
+    from sextant.operators import studies
+
+    r = np.random.default_rng(5)
+    x, z, g = r.normal(size=200), r.normal(size=200), r.integers(0, 3, 200)
+    y = 2 * x - z + g + r.normal(size=200) * (1 + abs(x))
+    df = spark.createDataFrame([(float(a), float(b), float(c), f"s{d}", 1.0) for a, b, c, d in zip(y, x, z, g)], "y double, x double, z double, g string, one double")
+    got = studies.slope(df, "y", "x", ["z", "one", "absent"], ["g"])
+    m = np.column_stack([np.ones(200), x, z, g == 1, g == 2]).astype(float)
+    inv = np.linalg.inv(m.T @ m)
+    beta = inv @ m.T @ y
+    u = (y - m @ beta) / (1 - np.einsum("ij,jk,ik->i", m, inv, m))
+    se = np.sqrt(np.diag(inv @ (m.T * u**2) @ m @ inv))
+    assert got["n"] == 200 and got["estimate"] == pytest.approx(beta[1]) and got["ci_high"] - got["estimate"] == pytest.approx(studies.Z * se[1])
+    assert studies.slope(df.limit(10), "y", "x")["estimate"] is None
+    both = studies.interaction(df.withColumn("f", (F.col("z") > 0).cast("int")), "y", "x", "f")
+    f = z > 0
+    apart = [np.polyfit(x[s], y[s], 1)[0] for s in (f, ~f)]
+    assert both["estimate"] == pytest.approx(apart[0] - apart[1]) and both["main"] == pytest.approx(apart[1])
+
+
+def test_study_bundles(spark, sf_dir):
+    from dataclasses import replace
+
+    from sextant.operators import studies
+    from sextant.plans import study
+
+    rows = study.events(spark, sf_dir).persist()
+    small = replace(study.STUDY, draws=48)
+    out = {r.test: r for r in studies.summary(rows, small).collect()}
+    assert sorted(out) == ["T1", "T2", "T3", "T4", "T5", "T6"] and all(r.p_bonferroni >= r.p_raw and r.p_bh >= r.p_raw for r in out.values())
+    assert out["T4"].p_robust is not None and out["T1"].ci_low <= out["T1"].statistic <= out["T1"].ci_high
+    table = studies.robustness(rows.where("year < 1997"), small).collect()
+    assert len(table) == 4 + 2 + 3 + 5 + 4 and {r.kind for r in table} == {"spearman", "partial_spearman", "ols_beta", "ols_beta_winsorised"}
+    assert next(r for r in table if r.specification == "excluded kind only").estimate is None
+    assert studies.binned_medians(rows.limit(10), "length", "y", 5).count() == 0
+    assert studies.association(rows.limit(10), "length", "y", 5)["method"] == "insufficient data"
+
+
+def test_correlation_order():
+    from sextant.operators import studies
+
+    r = [[1, 0.1, 0.9, 0.2], [0.1, 1, 0.1, -0.8], [0.9, 0.1, 1, 0.1], [0.2, -0.8, 0.1, 1]]
+    assert studies.correlation_order(r) == [0, 2, 1, 3]
+
+
+def test_small_operators(spark, tmp_path):
+    from sextant.functions import columns as C, text as T
+    from sextant.operators import joins, models
+    from sextant.sources import readers, sinks
+
+    df = spark.createDataFrame([(1, 2.5, -9.0, 1), (2, 3.5, 6.001, 3), (3, None, None, None)], "id int, x double, raw double, modal int")
+    got = df.select("id", C.half_even(F.col("x")).alias("h"), C.rank_value(F.col("raw")).alias("r"), C.not_equal(F.col("modal"), 1).alias("ne"), C.log1p(F.col("raw")).alias("l"), *[c.alias(n) for n, c in C.code_flags(F.col("modal"), {1: "strong", 3: "weak"}).items()]).collect()
+    assert [(r.h, r.r, r.ne, r.strong, r.weak) for r in got] == [(2.0, None, False, 1, 0), (4.0, 6.0, True, 0, 1), (None, None, True, 0, 0)] and got[0].l is None
+    assert [r.id for r in df.where(C.any_flag(["modal"])).collect()] == [1, 2]
+    assert "p" in C.product_if_absent(df, "p", "id", "x").columns and C.product_if_absent(df, "x", "id", "raw") is df
+    wide = spark.createDataFrame([("a", 1.0, None)], "n string, p1 double, p2 double")
+    assert [(r.n, r.year, r.rank) for r in C.by_years(wide, ["n"], {"p1": [2018, 2019], "p2": [2020]}).collect()] == [("a", 2018, 1.0), ("a", 2019, 1.0)]
+    assert C.union_all(df.select("id"), df.select("id", "x")).where("x is null").count() == 4
+    ranks = spark.createDataFrame([("a", 2018, 9.0), ("a", 2019, 8.0)], "n string, year int, rank double")
+    asked = spark.createDataFrame([("a", 2019), ("a", 2020), ("b", 2018)], "n string, year int")
+    assert {(r.n, r.year): r.rank for r in joins.value_at(asked, ranks, "n", "year", "rank").collect()} == {("a", 2019): 8.0, ("a", 2020): None, ("b", 2018): None}
+    words = spark.createDataFrame([("good", 1, 0, 1), ("Bad ", 0, 2, 3), ("none", 0, 0, 0)], "word string, positive int, negative int, modal int")
+    lex = D.lexicon(words, "word", ["positive", "negative"], {"modal": {1: "strong", 3: "weak"}})
+    assert sorted(map(tuple, lex.collect())) == [("BAD", "negative"), ("BAD", "weak"), ("GOOD", "positive"), ("GOOD", "strong")]
+    with pytest.raises(ValueError, match="litigious"):
+        D.lexicon(words, "word", ["litigious"])
+    page = spark.createDataFrame([(1, "<p>a &amp; b</p><script>no</script>\n\n\n\n<i>c</i>"), (2, None)], "i int, h string")
+    assert {r.i: r.t for r in page.select("i", T.exact_text(F.col("h")).alias("t")).collect()} == {1: "a & b \n\n c", 2: ""}
+    body = lambda h: f" Table of Contents\n{h}\n" + "words " * 120
+    filings = spark.createDataFrame([(1, "".join(map(body, ["RISK FACTORS", "USE OF PROCEEDS", "LEGAL MATTERS", "x", "y"]))), (2, "plain"), (3, " ")], "i int, t string")
+    assert tuple(D.section_coverage(filings, "t", ["risk_factors", "mda"]).first()) == (2, 1, 0, 1)
+    files = spark.createDataFrame([("A", "1", "full", "text"), ("A", "1", "mda", "talk")], "key string, tag string, kind string, text string")
+    rows = readers.with_texts(spark.createDataFrame([("A", "1"), ("B", "2")], "ticker string, day string"), files, "ticker", "day", {"full": "full_text", "mda": "mda_text"})
+    assert {r.ticker: (r.full_text, r.mda_text) for r in rows.collect()} == {"A": ("text", "talk"), "B": ("", "")}
+    assert [r.status for r in readers.read_status(spark.createDataFrame([("x", None), (" ", None), (None, None), ("x", "Timeout")], "t string, e string"), "t", "e").collect()] == ["ok", "empty", "missing", "error: Timeout"]
+    path = str(tmp_path / "pair")
+    assert sinks.write_pair(df, path + "1", path + "2", F.col("id") > 1) == (3, 2)
+    sinks.write_text(spark, path + "/a.svg", "x" * 50)
+    sinks.write_text(spark, path + "/b.svg", "x")
+    assert sinks.size_budget(spark, path, {"a.svg": (10, 20), "c.svg": (1, 2)}, (".svg",)) == ["over budget (50 bytes): a.svg", "missing: c.svg", "unexpected: b.svg"]
+    assert list(sinks.report(df.where("id = 1"), "%d: %.1f", "id", "x")) == ["1: 2.5"]
+    models.assert_before(spark.createDataFrame([(1, 2), (None, 1)], "a int, b int"), "a", "b")
+    with pytest.raises(ValueError):
+        models.assert_before(spark.createDataFrame([(2, 2)], "a int, b int"), "a", "b")
