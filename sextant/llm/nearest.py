@@ -13,11 +13,11 @@ candidates equally long (the bound on their lengths is an exact maximum over all
 
 Cells with more than CELL_ROWS rows (such as many copies of one vector) are split by id, so
 that no task gets a hot cell whole. Sample, tree and directions are bounded: SAMPLE_ROWS
-rows, at most MAX_CELLS cells.
+rows, and a cell for eight of them at most.
 
 Defined results: vectors that are null, empty, zero, of another length than most, or hold null or
 non-finite components take no part; repeated ids are separate candidates, but never
-neighbours of a query with their id; ties go to the smaller id; fewer candidates than k are all
+neighbours of a query with their id, which asks with the least of its vectors; ties go to the smaller id; fewer candidates than k are all
 returned; empty tables give empty results; other columns are not read.
 """
 
@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-SAMPLE_ROWS, MAX_CELLS, CELL_ROWS, QUERY_ROWS = 50_000, 4096, 4096, 4096
+#: Rows of the sample, of a cell, of a block of queries, and candidates verified at once.
+SAMPLE_ROWS, CELL_ROWS, QUERY_ROWS, STEP = 50_000, 4096, 4096, 128
 
 
 def chi_square_quantile(p: float, dof: int) -> float:
@@ -85,12 +86,47 @@ def cell_of(points, axis, cut):
     return node - len(axis)
 
 
+def verify(q, asks, given, ql, v, ids, low, longest: float, quantile: float, k: int):
+    """Search a cell for a block of queries: (query's place, id, score) of the best k found, and the pairs verified by query.
+
+    Each query takes the candidates in order of projected distance, STEP at a time, and computes their products on
+    the original vectors. It stops when the next projected distance lies beyond the chi-square quantile of the
+    distance of its k-th best so far (or of given, the k-th best known before; nan if there is none). ids ascend.
+    """
+    import numpy as np
+
+    far = (ql * ql).sum(1)[:, None] + (low * low).sum(1) - 2 * ql @ low.T
+    order = np.argsort(far, axis=1, kind="stable")
+    far = np.take_along_axis(far, order, 1)
+    n, squares = len(ids), (q * q).sum(1)
+    bound = np.where(np.isnan(given), -np.inf, given)
+    best, best_ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    done, at, live = np.zeros(len(q), np.int64), 0, np.arange(len(q))
+    while at < n and len(live):
+        radius = quantile * np.maximum(squares[live] + longest - 2 * bound[live], 0)
+        live = live[far[live, at] <= radius]
+        some = order[live, at : at + STEP]
+        score = (v[some] * q[live][:, None, :]).sum(2)
+        which = ids[some]
+        score[which == asks[live][:, None]] = -np.inf
+        score, which = np.concatenate([best[live], score], 1), np.concatenate([best_ids[live], which], 1)
+        by = np.argsort(which, axis=1, kind="stable")
+        score, which = np.take_along_axis(score, by, 1), np.take_along_axis(which, by, 1)
+        by = np.argsort(-score, axis=1, kind="stable")[:, :k]
+        best[live], best_ids[live] = np.take_along_axis(score, by, 1), np.take_along_axis(which, by, 1)
+        bound[live] = np.maximum(bound[live], best[live, -1])
+        done[live] += some.shape[1]
+        at += STEP
+    row, col = np.nonzero((best > -np.inf) & ~(best < given[:, None]))
+    return row, best_ids[row, col], best[row, col], done
+
+
 def usable(vector: F.Column) -> F.Column:
     odd = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return vector.isNotNull() & ~F.coalesce(odd, F.lit(False)) & F.exists(vector, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, dims: int = 10, p: float = 0.99, seed: int = 7) -> DataFrame:
+def nearest(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, dims: int = 10, p: float = 0.9, seed: int = 7) -> DataFrame:
     """(query_id, rank, vec_id, score): the k largest inner products found for each row where queries holds.
 
     p is the chance with which the stopping test leaves a true neighbour in reach.
@@ -118,7 +154,7 @@ def nearest(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vecto
 
     sample = rows.select("v").sample(min(1.0, 1.2 * SAMPLE_ROWS / total), seed=seed).limit(SAMPLE_ROWS).toPandas()
     points = lifted(np.array(sample.v.tolist() or [[0.0] * d]), True) @ directions
-    axis, cut, lo, hi = fit_tree(points, min(MAX_CELLS, -(-total // (CELL_ROWS // 2)), max(1, len(points) // 8)))
+    axis, cut, lo, hi = fit_tree(points, min(-(-total // (CELL_ROWS // 2)), max(1, len(points) // 8)))
     shared = spark.sparkContext.broadcast((directions, axis, cut, lo, hi))
 
     def dealt(batches):
@@ -131,7 +167,7 @@ def nearest(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vecto
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell_of(low, axis, cut), pa.int64())], names=["vec_id", "v", "asks", "cell"])
 
     placed = materialise(rows.mapInArrow(dealt, "vec_id long, v array<double>, asks boolean, cell long"))
-    counts = placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("shards"))  # MAX_CELLS rows at most
+    counts = placed.groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("shards"))  # a row a cell, an eighth of the sample at most
     candidates = placed.join(F.broadcast(counts), "cell").select("vec_id", "v", F.col("cell"), F.pmod(F.xxhash64("vec_id"), "shards").cast("int").alias("shard"))
 
     def visited(batches):
@@ -175,28 +211,8 @@ def nearest(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vecto
                 for i in range(0, len(left), 128):
                     part = left.iloc[i : i + 128]
                     q, asks, given = np.array(part.qv.tolist()), part.query_id.to_numpy(), part.bound.to_numpy(np.float64)
-                    ql = lifted(q, False) @ directions
-                    far = (ql * ql).sum(1)[:, None] + (low * low).sum(1) - 2 * ql @ low.T
-                    near = q @ v.T
-                    near[asks[:, None] == ids] = -np.inf
-                    # the first candidates in projected distance give the k-th distance for the test
-                    first = np.argpartition(far, 4 * k, axis=1)[:, : 4 * k] if len(ids) > 4 * k else np.tile(np.arange(len(ids)), (len(asks), 1))
-                    bound = np.where(np.isnan(given), -np.inf, given)
-                    if first.shape[1] >= k:
-                        seen = np.take_along_axis(near, first, 1)
-                        bound = np.maximum(bound, np.partition(seen, -k, axis=1)[:, -k])
-                    # candidates are verified as far out as the test lets the query go
-                    squares = np.maximum((q * q).sum(1) + longest - 2 * bound, 0)
-                    near[far > quantile * squares[:, None]] = -np.inf
-                    if len(ids) > k:
-                        bound = np.maximum(bound, np.partition(near, -k, axis=1)[:, -k])
-                    row, col = np.nonzero((near >= bound[:, None] - 1e-9) & (near > -np.inf))
-                    score = (v[col] * q[row]).sum(1)
-                    by = np.lexsort((ids[col], -score, row))
-                    row, col, score = row[by], col[by], score[by]
-                    rank = np.arange(len(row)) - np.searchsorted(row, row)
-                    good = (rank < k) & ~(score < given[row])
-                    out.append(pd.DataFrame({"query_id": asks[row[good]], "vec_id": ids[col[good]], "score": score[good]}))
+                    row, near, score, _ = verify(q, asks, given, lifted(q, False) @ directions, v, ids, low, longest, quantile, k)
+                    out.append(pd.DataFrame({"query_id": asks[row], "vec_id": near, "score": score}))
             return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
         keys = ["cell", "shard", "block"]
@@ -208,7 +224,7 @@ def nearest(vectors: DataFrame, queries: F.Column, id_col: str = "vec_id", vecto
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    asked = placed.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")).dropDuplicates(["query_id"])
+    asked = placed.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv")).groupBy("query_id").agg(F.min("qv").alias("qv"))
     first = materialise(best(searched(asked.withColumn("bound", F.lit(None).cast("double")))).drop("rank"))
     kth = first.groupBy("query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n")).select("query_id", F.when(F.col("n") >= k, F.col("bound")).otherwise(-1.7e308).alias("bound"))
     second = searched(asked.join(kth, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-1.7e308))))
