@@ -160,7 +160,7 @@ def unescape(text: F.Column) -> F.Column:
 
 
 def apply_template(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """Adds segments, an array of (text, loss), and formatted, their concatenation.
+    """Adds segments, an array of (text, loss), formatted, their concatenation, and mask, whether a turn's text in formatted counts for the loss.
 
     The loss mask covers exactly the texts of loss_role.
     """
@@ -170,7 +170,8 @@ def apply_template(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         return F.array(seg(head, F.lit(False)), seg(escape(x["text"]), x["role"] == loss_role), seg(F.lit(END + "\n"), F.lit(False)))
 
     out = turns.withColumn("segments", F.flatten(F.transform("turns", segments)))
-    return out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    out = out.withColumn("formatted", F.array_join(F.transform("segments", lambda s: s["text"]), ""))
+    return out.withColumn("mask", F.transform("turns", lambda x: x["role"] == loss_role))
 
 
 def parse_template(formatted: F.Column) -> F.Column:
@@ -193,8 +194,9 @@ def op7_chat_format(spark, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     out = apply_template(canonical_turns(rows.union(own), "conv_id"))
-    masked = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
-    back = out.select("conv_id", "formatted", parse_template(F.col("formatted")).alias("read"), masked.alias("masked"))
+    back = out.select("conv_id", "formatted", "mask", parse_template(F.col("formatted")).alias("read"))
+    under = F.filter(F.arrays_zip("read", "mask"), lambda x: x["mask"])
+    back = back.withColumn("masked", F.array_join(F.transform(under, lambda x: x["read"]["text"]), ""))
     digest = F.array_join(F.transform("read", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("read").cast("long").alias("n_turns"), F.sha2(digest, 256).alias("turns_sha256"),

@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 # Classes of HTML elements, as the standard has them.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data dfn em font i img ins del kbd mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr label".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}}
 
 _TAG = re.compile(r"""<(?:!--(.*?)(?:-->|\Z)|[!?][^>]*+(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|/?[a-zA-Z][^>]*+(?:(>)|\Z))""", re.S)
-_ATTR = re.compile(r"""(class|id|role|itemprop|aria-label|data-content)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTR = re.compile(r"""(?<![\w-])(class|id|role|itemprop|aria-label|data-content)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[a-z]{2,}")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 

@@ -457,6 +457,15 @@ def test_simhash(spark):
         assert x.sim & ((1 << 64) - 1) == want and x.words == len(x.h)
 
 
+def test_line_sims_equal_simhash(spark):
+    r = random.Random(19)
+    texts = [words(r, n) for n in (16, 40, 127, 300, 2000)] + [words(r, 8)]
+    rows = [(i, 0, i, t, len(t.split())) for i, t in enumerate(texts)] + [(9, 1, 1, texts[1], 40)]
+    lines = spark.createDataFrame(rows, "rid long, at int, line long, norm string, words int")
+    want = line_dedup.with_simhash(lines.where("words >= 16").select("line", "norm")).select("line", "sim").distinct()
+    assert sorted(map(tuple, line_dedup.line_sims(lines).collect())) == sorted(map(tuple, want.collect()))
+
+
 # near copies
 
 
