@@ -144,6 +144,12 @@ def page_sections(spark, sf_dir):
     return out.select("doc_id", "section", F.char_length("body").cast("long").alias("n_chars"))
 
 
+SECTIONS = r"""with h(section, head, at_end) as (values ('prospectus_summary', 'PROSPECTUS SUMMARY', false), ('risk_factors', 'RISK FACTORS', false), ('use_of_proceeds', 'USE OF PROCEEDS', false), ('dividend_policy', 'DIVIDEND POLICY', false),
+  ('legal_matters', 'LEGAL MATTERS', true)),
+b as (select doc_id, section, case when at_end then regexp_replace(head || chr(10) || text, '\s+$', '') else head || chr(10) || text || chr(10) || 'Table of Contents' end as body from documents, h where text is not null)
+select doc_id, section, length(body) as n_chars from b where length(body) >= 500"""
+
+
 def share_count_extract(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     banner = F.concat(F.lit("PRELIMINARY PROSPECTUS "), F.format_number(F.col("doc_id") * 7919 + 100_000, 0), F.lit(" Shares Common Stock "), F.col("text"))
@@ -163,13 +169,33 @@ NAMES = rf"""with n as (select s_suppkey as key, s_name || ' & Co. LLC (ABC)' as
 select key, name, trim(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(lower(name), '\([^)]*\)', ' ', 'g'), '&', ' and '), '\b({T.LEGAL_FORMS})\b\.?', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g')) as company from n"""
 
 
+def _place(page: str, term: str) -> str:
+    """Where a term stands first between other signs than letters and digits, from 1; 0 if nowhere."""
+    return f"length(regexp_extract(' ' || {page} || ' ', '(?s)^(.*?[^0-9A-Za-z]){term}[^0-9A-Za-z]', 1))"
+
+
+def _without(page: str, place: str, size: int) -> str:
+    """The page with a term's characters taken."""
+    return f"case when {place} > 0 then left({page}, {place} - 1) || repeat('#', {size}) || substr({page}, {place} + {size}) else {page} end"
+
+
 def spot_entities(spark, sf_dir):
     terms = D.search_terms({"the and attion": "Attion Partners", "disgusting pathetic": "Pathetic Brothers", "the": "The House"}, {"that and": "That and Sons", "loser": "Loser"}, {"loser"})
     return D.spot_entities(table(spark, sf_dir, "documents"), "doc_id", "text", terms).select("doc_id", F.array_join("names", "; ").alias("names"), F.size("names").alias("n"))
 
 
+# a term's first place, the longest first, each on the page without the characters of the longer ones
+ENTITIES = rf"""with c as (select doc_id, left(regexp_replace(left(coalesce(text, ''), 60000), '\s+', ' ', 'g'), 20000) as page from documents),
+p0 as (select doc_id, regexp_replace(regexp_replace(replace(lower(page), '&', ' and '), '[^\p{{L}}\p{{N}}_\s]', ' ', 'g'), '\s+', ' ', 'g') as page from c),
+p1 as (select *, {_place('page', 'disgusting pathetic')} as a from p0), p2 as (select *, {_without('page', 'a', 19)} as page1 from p1),
+p3 as (select *, {_place('page1', 'the and attion')} as b from p2), p4 as (select *, {_without('page1', 'b', 14)} as page2 from p3),
+p5 as (select *, {_place('page2', 'that and')} as c from p4), p6 as (select *, {_without('page2', 'c', 8)} as page3 from p5),
+p7 as (select *, {_place('page3', 'the')} as d from p6),
+n as (select doc_id, unnest([struct_pack(p := a, n := 'Pathetic Brothers'), struct_pack(p := b, n := 'Attion Partners'), struct_pack(p := c, n := 'That and Sons'), struct_pack(p := d, n := 'The House')]) as x from p7)
+select doc_id, coalesce(string_agg(x.n, '; ' order by x.p) filter (where x.p > 0), '') as names, (count(*) filter (where x.p > 0))::int as n from n group by doc_id"""
+
 QUERIES = {
     "tone_by_bin": (tone_by_bin, TONE_BIN), "tokenise_stats": (tokenise_stats, TOKENISE), "tone_ratios": (tone_ratios, TONE), "section_tone_concentration": (section_tone_concentration, SECTION_TONE),
     "fog_index": (fog_index, FOG), "tfidf_top_terms": (tfidf_top_terms, TFIDF), "expanding_uniqueness": (expanding_uniqueness, UNIQUENESS), "html_to_text": (html_to_text, HTML),
-    "page_sections": (page_sections, None), "share_count_extract": (share_count_extract, SHARES), "normalise_names": (normalise_names, NAMES), "spot_entities": (spot_entities, None),
+    "page_sections": (page_sections, SECTIONS), "share_count_extract": (share_count_extract, SHARES), "normalise_names": (normalise_names, NAMES), "spot_entities": (spot_entities, ENTITIES),
 }

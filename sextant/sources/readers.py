@@ -148,7 +148,7 @@ def assert_sha256(spark: SparkSession, path: str, expected: str) -> str:
 def two_series(a: DataFrame, b: DataFrame, day: str) -> DataFrame:
     """Two daily series side by side by date; days without any value go."""
     out = a.join(b, day, "full")
-    return out.na.drop("all", [c for c in out.columns if c != day])
+    return out.na.drop("all", subset=[c for c in out.columns if c != day])
 
 
 def excel(spark: SparkSession, path: str, sheet: str | int = 0, header: int = 0) -> DataFrame:
