@@ -3,8 +3,7 @@
 Each document's ids (and a closing id) are cut into pieces whose lengths are powers of
 two: as many of the greatest length as fit, then the binary digits of what is left. A
 piece is a training sequence of its own, so no sequence crosses documents, none is
-padded, and pieces of equal length share a bucket (write the result partitioned by
-``bucket`` to read batches of one length). The work is one narrow pass without a
+padded, and pieces of equal length share a bucket (``write_buckets``). The work is one narrow pass without a
 shuffle; a task holds one Arrow batch of texts and at most FLUSH bytes of pieces.
 
 Defined results: null and empty texts are the closing id alone; repeated rows are packed
@@ -77,6 +76,11 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     )
 
 
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Write packed sequences with a folder for each length, so that batches of one length are read without padding."""
+    packed.write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
 def op1_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

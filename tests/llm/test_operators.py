@@ -164,6 +164,13 @@ def test_unigram_fold(spark):
             assert "".join(row.pieces) == row.word and sum(table[p] for p in row.pieces) == pytest.approx(best(row.word))
 
 
+def test_buckets_hold_one_length(spark, table, tmp_path):
+    packed = packing.pack(table([(1, "one two three"), (2, None), (3, "a much longer text than the others here")]), BPE, longest=8)
+    packing.write_buckets(packed, str(tmp_path / "b"))
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert back.count() == packed.count() and back.where("length <> pow(2, bucket)").count() == 0 and back.select("bucket").distinct().count() > 1
+
+
 # nearest vectors
 
 
