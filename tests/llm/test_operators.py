@@ -530,7 +530,7 @@ def test_components(spark):
 
 
 def test_queries_of_the_contract(spark, sf_dir):
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 14))
     out = registry.QUERIES["op1_packing"](spark, sf_dir).limit(5).collect()
     ids = tokens.encoder(BPE).encode(spark.read.parquet(f"{sf_dir}/documents.parquet").where(f"doc_id = {out[0].doc_id}").first().text) + b"\0" * 4
     p = out[0]
