@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clip
+from .selection import group_quantiles
 
 
 def quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
     """Exact quantiles with linear interpolation."""
-    return list(df.select(F.percentile(F.col(column), F.array(*[F.lit(s) for s in shares])).alias("q")).first()[0] or [])
+    got = group_quantiles(df, [], column, shares).first()
+    return list(got.q) if got else []
 
 
 def qcut(df: DataFrame, column: str, q: int, out: str) -> DataFrame:
@@ -24,14 +26,15 @@ def qcut(df: DataFrame, column: str, q: int, out: str) -> DataFrame:
 
 def winsorise(df: DataFrame, column: str, out: str, lo: float = 0.01, hi: float = 0.99, train: DataFrame | None = None) -> DataFrame:
     """Clips to quantiles of train (or of df itself)."""
-    a, b = quantiles(train if train is not None else df, column, [lo, hi])
-    return df.withColumn(out, clip(F.col(column).cast("double"), float(a), float(b)))
+    limits = quantiles(train if train is not None else df, column, [lo, hi])
+    x = F.col(column).cast("double")
+    return df.withColumn(out, clip(x, *map(float, limits)) if limits else x)
 
 
 def trim(df: DataFrame, column: str, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """Rows between two quantiles, both included."""
-    a, b = quantiles(df, column, [lo, hi])
-    return df.where(F.col(column).between(a, b))
+    limits = quantiles(df, column, [lo, hi])
+    return df.where(F.col(column).between(*limits) if limits else F.lit(False))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import dist
+from .selection import group_quantiles, per_group, select_ranks
 from .windows import average_rank
 
 
 def summary(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """n, mean, std, min, quartiles, max and share above zero."""
     c = F.col(x)
-    q = F.percentile(c, F.array(*[F.lit(s) for s in (0.25, 0.5, 0.75)]))
-    out = df.where(c.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), q.alias("q"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg((c > 0).cast("double")).alias("share_positive"))
+    out = df.where(c.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg((c > 0).cast("double")).alias("share_positive"))
+    out = per_group(out, group_quantiles(df, by, x, [0.25, 0.5, 0.75]).drop("n"), by)
     return out.select(*by, "n", F.col("q")[1].alias("median"), "mean", "std", F.col("q")[0].alias("p25"), F.col("q")[2].alias("p75"), "min", "max", "share_positive")
 
 
@@ -38,10 +39,12 @@ def funnel(df: DataFrame, steps: list[tuple[str, F.Column]], only_drops: bool =
 def spread(df: DataFrame, by: list[str], x: str) -> DataFrame:
     """n, std, interquartile range and median absolute deviation."""
     c = F.col(x)
-    first = df.where(c.isNotNull()).groupBy(*by).agg(F.count("*").alias("n"), F.stddev_samp(c).alias("std"), F.percentile(c, F.array(*[F.lit(s) for s in (0.25, 0.5, 0.75)])).alias("q"))
+    first = df.where(c.isNotNull()).groupBy(*by).agg(F.stddev_samp(c).alias("std"))
+    held = group_quantiles(df, by, x, [0.25, 0.5, 0.75])
     # a row a group: Spark broadcasts the medians where they are small
-    mid = df.where(c.isNotNull()).join(first.select(*by, F.col("q")[1].alias("__m")), by).groupBy(*by).agg(F.percentile(F.abs(c - F.col("__m")), F.lit(0.5)).alias("mad"))
-    return first.join(mid, by).select(*by, "n", "std", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "mad")
+    away = per_group(df.where(c.isNotNull()), held.select(*by, F.col("q")[1].alias("__m")), by).withColumn("__away", F.abs(c - F.col("__m")))
+    mid = group_quantiles(away, by, "__away", [0.5]).select(*by, F.col("q")[0].alias("mad"))
+    return per_group(per_group(held, first, by), mid, by).select(*by, "n", "std", (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "mad")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -70,7 +73,9 @@ def pearson(df: DataFrame, x: str, y: str) -> tuple[float | None, float | None,
 
 def pivot_medians(df: DataFrame, row: str, column: str, x: str, least: int = 5) -> DataFrame:
     """(row, column, n, median, place): cells of a pivot in long form, the median null under least rows; place orders rows by their totals, largest first."""
-    cells = df.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(row, column).agg(F.count("*").alias("n"), F.percentile(x, F.lit(0.5)).alias("m"))
+    known = df.where(F.col(row).isNotNull() & F.col(column).isNotNull())
+    mid = group_quantiles(known, [row, column], x, [0.5]).select(row, column, F.col("q")[0].alias("m"))
+    cells = known.groupBy(row, column).agg(F.count("*").alias("n")).join(mid, [row, column], "left")
     totals = cells.groupBy(row).agg(F.sum("n").alias("__t")).withColumn("place", F.row_number().over(Window.orderBy(F.desc("__t"), row)).cast("long"))  # a row for each label
     return cells.join(totals.drop("__t"), row).select(row, column, "n", F.when(F.col("n") >= least, F.col("m")).alias("median"), "place")
 
@@ -164,7 +169,7 @@ def kruskal(df: DataFrame, group: str, x: str) -> dict:
 
 def _centred(df: DataFrame, group: str, x: str) -> DataFrame:
     rows = df.select(group, x).na.drop()
-    mid = rows.groupBy(group).agg(F.percentile(x, F.lit(0.5)).alias("__m"))
+    mid = group_quantiles(rows, [group], x, [0.5]).select(group, F.col("q")[0].alias("__m"))
     return rows.join(mid, group).select(group, F.abs(F.col(x) - F.col("__m")).alias("z"))
 
 
@@ -227,38 +232,69 @@ def adjust(df: DataFrame, name: str, p: str) -> DataFrame:
     return out.drop("__m", "__r")
 
 
-def bootstrap(df: DataFrame, by: list[str], x: str, statistic: Callable | None = None, draws: int = 5000, seed: int = 20240517) -> DataFrame:
-    """(by, n, value, ci_low, ci_high): percentile intervals of a statistic (the median by default); no interval under three rows.
+def _median_ranks(n: int, draws: int, seed: list[int]):
+    """Two arrays: between which ranks (from 0) of n ordered values the medians of resamples lie.
 
-    Values are counted first and a resample draws multinomial counts, so a group comes to its task as its distinct values
-    and their counts; groups and blocks of draws run in parallel.
+    A resample draws n uniform places; its middle ones are order statistics, whose law is beta: the m-th least
+    place of n is beta(m, n + 1 - m), and the next one the least of n - m places beyond it.
     """
-    blocks = 16
-    counted = df.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*by).schema.fields)
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    m = (n + 1) // 2
+    first = rng.beta(m, n + 1 - m, draws)
+    second = first + (1 - first) * rng.beta(1, n - m, draws) if n % 2 == 0 else first
+    return [np.minimum((n * u).astype(np.int64), n - 1) for u in (first, second)]
 
-    def run(key, pdf):
-        import numpy as np
-        import pandas as pd
 
-        pdf = pdf.sort_values("v")
-        v, c = pdf.v.to_numpy(), pdf.n.to_numpy()
-        total = int(c.sum())
-        rng = np.random.default_rng([seed, int(key[-1])])
+def bootstrap(df: DataFrame, by: list[str], x: str, draws: int = 5000, seed: int = 20240517, most: int | None = None) -> DataFrame:
+    """(by, n, value, ci_low, ci_high): the median of each group and its percentile interval over resamples; no interval under three rows.
 
-        def median(counts):
-            upto = np.cumsum(counts)
-            return (v[np.searchsorted(upto, (total - 1) // 2, "right")] + v[np.searchsorted(upto, total // 2, "right")]) / 2
+    Resamples are drawn as the ranks their medians fall on, and no row is resampled. Ranks lie within a few times
+    sqrt(n) of the middle, so of each group only the values between the least and the largest of them, found by
+    selection, come to a task.
+    """
+    from zlib import crc32
+
+    rows = scratch.write(df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("__v")))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).where("n > 0")
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.select(*by).schema.fields)
+
+    def ranks(key, n):
+        return _median_ranks(int(n), draws, [seed, crc32(repr(tuple(map(str, key))).encode())])
+
+    def spans(frames):
+        for pdf in frames:
+            out = []
+            for *key, n in pdf[[*by, "n"]].itertuples(index=False):
+                first, second = ranks(key, n)
+                out.append((min(int(first.min()), (n - 1) // 2), max(int(second.max()), n // 2)))
+            yield pdf.assign(first=[a for a, _ in out], last=[b for _, b in out])
+
+    held = scratch.write(sizes.mapInPandas(spans, f"{kinds}n long, first long, last long"))
+    targets = held.select(*by, F.explode(F.array_distinct(F.array("first", "last"))).alias("rank"))
+    got = select_ranks(rows, by, "__v", targets, most)
+    ends = got.groupBy(*by).agg(F.min("value").alias("__from"), F.max("value").alias("__to"), F.min("below").alias("__below"))
+    near = per_group(rows, ends, by, (F.col("__v") >= F.col("__from")) & (F.col("__v") <= F.col("__to")))
+    counted = per_group(near.groupBy(*by, "__v", "__below").agg(F.count("*").alias("__n")), held.select(*by, "n"), by)
 
-        at = statistic and (lambda counts: statistic(np.repeat(v, counts))) or median
-        got = [at(rng.multinomial(total, c / total)) for _ in range(-(-draws // blocks))] if total >= 3 else []
-        return pd.DataFrame([(*key[:-1], total, float(at(c)), got)], columns=[*by, "n", "value", "draws"])
+    def run(key, pdf):
+        import numpy as np
+        import pandas as pd
 
-    parts = counted.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    each = parts.groupBy(*by, "__block").applyInPandas(run, f"{kinds}, n long, value double, draws array<double>")
-    out = each.groupBy(*by).agg(F.first("n").alias("n"), F.first("value").alias("value"), F.flatten(F.collect_list("draws")).alias("d"))
-    pick = lambda s: F.when(F.size("d") > 0, F.array_sort("d")[F.floor((F.size("d") - 1) * s).cast("int")])
-    return out.select(*by, "n", "value", pick(0.025).alias("ci_low"), pick(0.975).alias("ci_high"))
+        pdf = pdf.sort_values("__v")
+        v, n = pdf["__v"].to_numpy(), int(pdf["n"].iloc[0])
+        upto = int(pdf["__below"].iloc[0]) + np.cumsum(pdf["__n"].to_numpy())
+        at = lambda r: v[np.searchsorted(upto, r, "right")]
+        lo = hi = None
+        if n >= 3:
+            first, second = ranks(key, n)
+            lo, hi = np.percentile((at(first) + at(second)) / 2, [2.5, 97.5]).tolist()
+        return pd.DataFrame([(*key, n, float(at((n - 1) // 2) + at(n // 2)) / 2, lo, hi)], columns=[*by, "n", "value", "ci_low", "ci_high"])
+
+    out = scratch.write(counted.groupBy(*by).applyInPandas(run, f"{kinds}n long, value double, ci_low double, ci_high double"))
+    scratch.drop(rows, held, got)
+    return out
 
 
 def evaluate(df: DataFrame, y: str, yhat: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import binning, documents as D, joins, models, stats
+from ..operators.selection import group_quantiles, per_group
 from .texts import table
 
 RANGES = [(1, 9, "small"), (10, 19, "medium"), (20, 34, "large"), (40, 50, "huge")]
@@ -139,7 +140,7 @@ select grp, count(*) as n, round(quantile_cont(x, 0.5), 4) as median, round(avg(
 def pivot_median_year(spark, sf_dir):
     """Medians by priority and year in long form, cells of fewer than five rows left out, groups ordered by their totals."""
     o = table(spark, sf_dir, "orders")
-    cells = o.groupBy("o_orderpriority", F.year("o_orderdate").alias("year")).agg(F.percentile("o_totalprice", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
+    cells = group_quantiles(o.withColumn("year", F.year("o_orderdate")), ["o_orderpriority", "year"], "o_totalprice", [0.5]).withColumn("median", F.col("q")[0])
     totals = o.groupBy("o_orderpriority").agg(F.count("*").alias("total"))
     return cells.join(totals, "o_orderpriority").where("n >= 5").select("o_orderpriority", "year", F.round("median", 4).alias("median"), "n", "total")
 
@@ -149,7 +150,8 @@ PIVOT = "select o_orderpriority, year(o_orderdate)::int as year, round(quantile_
 
 def quantile_bins(spark, sf_dir):
     out = binning.qcut(table(spark, sf_dir, "lineitem"), "l_quantity", 5, "bin")
-    return out.groupBy("bin").agg(F.count("*").alias("n"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi"), F.round(F.percentile("l_extendedprice", F.lit(0.5)), 4).alias("median_price"))
+    mid = group_quantiles(out, ["bin"], "l_extendedprice", [0.5]).select("bin", F.round(F.col("q")[0], 4).alias("median_price"))
+    return per_group(out.groupBy("bin").agg(F.count("*").alias("n"), F.min("l_quantity").alias("lo"), F.max("l_quantity").alias("hi")), mid, ["bin"], how="left")
 
 
 BINS = """with e as (select distinct unnest(quantile_cont(l_quantity, [0, 0.2, 0.4, 0.6, 0.8, 1.0])) as edge from lineitem),

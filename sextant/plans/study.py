@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import binning, models, stats, studies
+from ..operators.selection import group_quantiles
 from .inference import _RANK, _deals, _row
 from .texts import table
 
@@ -48,7 +49,7 @@ def _binned(x: str, q: int) -> str:
 
 
 def decile_medians(spark, sf_dir):
-    out = studies.binned_medians(events(spark, sf_dir), "length", "y", 10, draws=400)
+    out = studies.binned_medians(events(spark, sf_dir), "length", "y", 10)
     inside = (F.col("ci_low") <= F.col("median")) & (F.col("median") <= F.col("ci_high"))
     return out.select("bin", "n", *[F.round(c, 6).alias(c) for c in ("median", "p25", "p75", "x")], inside.alias("inside"))
 
@@ -57,7 +58,7 @@ DECILES = f"with {_EVENTS}, {_binned('length', 10)} select bin, count(*) as n, r
 
 
 def spearman_interval(spark, sf_dir):
-    got = studies.spearman_interval(events(spark, sf_dir), "length", "y", 400)
+    got = studies.spearman_interval(events(spark, sf_dir), "length", "y")
     return _row(spark, {"rho": got["rho"], "n": got["n"], "inside": bool(got["ci_low"] <= got["rho"] <= got["ci_high"]), "narrow": bool(got["ci_high"] - got["ci_low"] < 8 / got["n"] ** 0.5)})
 
 
@@ -65,7 +66,7 @@ SPEARMAN = f"with {_EVENTS} select round({_rho('length', 'y', 'ev')}, 6) as rho,
 
 
 def rho_difference(spark, sf_dir):
-    got = studies.rho_difference(events(spark, sf_dir), "length", "y", "tier", 400)
+    got = studies.rho_difference(events(spark, sf_dir), "length", "y", "tier")
     return _row(spark, {k: got[k] for k in ("rho_1", "n_1", "rho_0", "n_0", "difference")} | {"inside": bool(got["ci_low"] <= got["difference"] <= got["ci_high"])})
 
 
@@ -133,7 +134,7 @@ def robustness_table(spark, sf_dir):
 
 
 def category_ranks(spark, sf_dir):
-    out = studies.by_category(events(spark, sf_dir), STUDY.categories, "y", 400)
+    out = studies.by_category(events(spark, sf_dir), STUDY.categories, "y")
     return out.select("category", F.round("rho", 6).alias("rho"), "n", (F.col("p_bh") >= F.col("p_value")).alias("adjusted"))
 
 
@@ -151,7 +152,7 @@ PEARSON = f"with {_EVENTS} select round(corr(length, y), 6) as r, count(*) as n
 def climate_terciles(spark, sf_dir):
     """Dispersion of the target by tercile of the climate."""
     cut = binning.qcut(events(spark, sf_dir), "climate", 3, "bin").withColumn("bin", F.col("bin") + 1)
-    mid = cut.groupBy("bin").agg(F.round(F.percentile("climate", F.lit(0.5)), 6).alias("x"))
+    mid = group_quantiles(cut, ["bin"], "climate", [0.5]).select("bin", F.round(F.col("q")[0], 6).alias("x"))
     return stats.spread(cut, ["bin"], "y").join(mid, "bin").select("bin", "n", "x", *[F.round(c, 6).alias(c) for c in ("std", "iqr", "mad")])
 
 

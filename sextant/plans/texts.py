@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .. import scratch
 from ..operators import binning, documents as D, stats
+from ..operators.selection import group_quantiles, per_group
 from ..functions.columns import ratio
 
 #: A small lexicon of our own for the synthetic corpus: (word, category); a word may have several.
@@ -54,9 +56,11 @@ TONE = f"with {_SHARES} select doc_id, n_tokens, category, hits, round(share, 6)
 def tone_by_bin(spark, sf_dir):
     """The flagship: lexicon share of each document, its quintile, and the labelled outcome by quintile."""
     shares = D.lexicon_shares(table(spark, sf_dir, "documents"), ["doc_id"], "text", lexicon(spark)).where("category = 'litigious'").select("doc_id", "share")
-    shares = shares.persist()  # read for the edges and for the bins
+    shares = scratch.write(shares)  # read for the edges, the bins and their medians
     binned = binning.qcut(shares, "share", 5, "bin").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return binned.groupBy("bin").agg(F.count("*").alias("n"), F.count("quality").alias("n_labelled"), F.round(F.avg("share"), 6).alias("mean_share"), F.round(F.percentile("share", F.lit(0.5)), 6).alias("median_share"), F.round(F.avg("quality"), 6).alias("mean_quality"))
+    mid = group_quantiles(binned, ["bin"], "share", [0.5]).select("bin", F.round(F.col("q")[0], 6).alias("median_share"))
+    out = binned.groupBy("bin").agg(F.count("*").alias("n"), F.count("quality").alias("n_labelled"), F.round(F.avg("share"), 6).alias("mean_share"), F.round(F.avg("quality"), 6).alias("mean_quality"))
+    return per_group(out, mid, ["bin"], how="left")
 
 
 TONE_BIN = f"""with {_SHARES}, s as (select doc_id, share from shares where category = 'litigious'),

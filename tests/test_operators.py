@@ -312,3 +312,64 @@ def test_small_operators(spark, tmp_path):
     models.assert_before(spark.createDataFrame([(1, 2), (None, 1)], "a int, b int"), "a", "b")
     with pytest.raises(ValueError):
         models.assert_before(spark.createDataFrame([(2, 2)], "a int, b int"), "a", "b")
+
+
+# order statistics
+
+
+def test_quantiles_of_large_groups(spark):
+    from sextant.operators.selection import group_quantiles, select_ranks
+
+    r = random.Random(8)
+    rows = [(r.choice(["a", "b", None, "c"]), r.choice([None, float(r.randrange(50)), r.gauss(0, 1e6), -0.0, 7.0])) for _ in range(6000)] + [("d", None), ("e", 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = [0.0, 0.01, 0.25, 1 / 3, 0.5, 0.99, 1.0]
+    for by in (["g"], []):
+        want = {tuple(x[c] for c in by): x.q for x in df.where("x is not null").groupBy(*by).agg(F.percentile("x", F.array(*map(F.lit, shares))).alias("q")).collect()}
+        for most in (10**6, 40):  # at once, and in several rounds
+            got = {tuple(x[c] for c in by): (x.n, x.q) for x in group_quantiles(df, by, "x", shares, most).collect()}
+            assert {k: q for k, (_, q) in got.items()} == want and sum(n for n, _ in got.values()) == sum(x is not None for _, x in rows)
+    held = sorted(x for g, x in rows if g == "a" and x is not None)
+    targets = spark.createDataFrame([("a", k) for k in (0, 5, len(held) - 1, len(held))] + [("none", 0)], "g string, rank long")
+    got = {x["rank"]: (x.value, x.below) for x in select_ranks(df, ["g"], "x", targets, 30).collect()}
+    assert got == {k: (held[k], sum(v < held[k] for v in held)) for k in (0, 5, len(held) - 1)}
+    assert group_quantiles(df.limit(0), ["g"], "x", [0.5]).count() == 0 and group_quantiles(df.where("g = 'd'"), [], "x", [0.5]).count() == 0
+    same = spark.range(5000).select(F.lit(4.5).alias("x"))
+    assert group_quantiles(same, [], "x", [0.1, 0.9], 10).first().q == [4.5, 4.5]
+
+
+@pytest.mark.parametrize("name", ["quantile_bins", "levene", "dispersion", "descriptive_by_group", "winsorise_clip", "trim_central", "climate_terciles"])
+def test_queries_through_selection(spark, sf_dir, monkeypatch, name):
+    from sextant.operators import selection
+    from sextant.plans import registry
+    from tests.test_queries import compare
+
+    monkeypatch.setattr(selection, "MOST", 300)
+    compare(spark, sf_dir, registry.QUERIES[name], registry.ORACLE_SQL[name])
+
+
+def test_medians_of_resamples_follow_their_law():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (3, 8, 51, 200):
+        first, second = stats._median_ranks(n, 40_000, [1, n])
+        plain = np.sort(rng.integers(n, size=(40_000, n)), axis=1)
+        for got, want in ((first, plain[:, (n - 1) // 2]), (second, plain[:, n // 2])):
+            assert abs(got.mean() - want.mean()) < 5 * want.std() / 200 and abs(got.std() - want.std()) < 0.03 * want.std() + 1e-9
+        assert abs(np.corrcoef(first, second)[0, 1] - np.corrcoef(plain[:, (n - 1) // 2], plain[:, n // 2])[0, 1]) < 0.03
+
+
+def test_interval_of_a_median_against_resampling(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    values = {"odd": np.round(rng.lognormal(size=1501), 2), "even": np.round(rng.lognormal(size=800), 1)}
+    df = spark.createDataFrame([(g, float(v)) for g, x in values.items() for v in x] + [("two", 1.0), ("two", 4.0), ("two", None), (None, 2.0), (None, 3.0), (None, 5.0)], "g string, x double")
+    for most in (None, 100):
+        got = {r.g: r for r in stats.bootstrap(df, ["g"], "x", most=most).collect()}
+        for g, x in values.items():
+            draws = np.median(x[rng.integers(len(x), size=(5000, len(x)))], axis=1)
+            lo, hi = np.percentile(draws, [2.5, 97.5])
+            assert got[g].value == np.median(x) and abs(got[g].ci_low - lo) < 0.25 * (hi - lo) and abs(got[g].ci_high - hi) < 0.25 * (hi - lo) and got[g].n == len(x)
+        assert (got["two"].value, got["two"].ci_low, got["two"].n) == (2.5, None, 2) and got[None].value == 3.0 and got[None].ci_low == 2.0
