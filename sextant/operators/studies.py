@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import dist
 from . import binning, stats
 from .selection import group_quantiles
@@ -114,14 +115,14 @@ def binned_medians(df: DataFrame, column: str, target: str, q: int = 10, least:
 
     Empty with fewer than least rows a bin.
     """
-    rows = _known(df, column, target)
+    rows = scratch.write(_known(df, column, target))
     out = "bin int, n long, median double, ci_low double, ci_high double, p25 double, p75 double, x double"
     if rows.count() < q * least:
         return df.sparkSession.createDataFrame([], out)
     cut = binning.qcut(rows, column, q, "__bin").withColumn("bin", F.col("__bin") + 1)
     mid = group_quantiles(cut, ["bin"], column, [0.5]).select("bin", F.col("q")[0].alias("x"))
     held = group_quantiles(cut, ["bin"], target, [0.25, 0.75]).select("bin", "q").join(mid, "bin")
-    resampled = stats.bootstrap(cut, ["bin"], target, draws=draws).withColumnRenamed("value", "median")
+    resampled = stats.bootstrap(cut, ["bin"], target, draws=draws).withColumnRenamed("value", "median")  # a written table
     return resampled.join(held, "bin").select("bin", "n", "median", "ci_low", "ci_high", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p75"), "x")
 
 
