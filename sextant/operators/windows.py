@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 
 def range_bucket(df: DataFrame, column: str, buckets: int = 64) -> F.Column:
     """The range of a numeric value, by edges that split df about evenly. An expression of literals: the same for equal values."""
@@ -50,63 +52,66 @@ def trailing_count(df: DataFrame, day: str, order: str, days: int, out: str) ->
     return df.withColumn("__day", d).withColumn("__same", same).join(before, "__day", "left").withColumn(out, F.col("__before") + F.col("__same")).drop("__day", "__same", "__before")
 
 
-def expanding_quantile_flag(df: DataFrame, day: str, order: str, value: str, q: float, min_history: int, out: str, threshold: str) -> DataFrame:
-    """Whether an integer value reaches the q-quantile (interpolated) of all earlier rows' values; null for the first min_history rows.
+def numbered(df: DataFrame, order: list[str], out: str = "pos") -> DataFrame:
+    """df with each row's position from 0 in a total order, written to the shared folder.
 
-    Rows are grouped by month. A month starts from the histogram of all earlier months, whose size is the number of
-    distinct values, and runs through its own rows in order; months run in parallel.
+    Rows are dealt in ranges of the order and sorted there, so equal leading values may lie in several tasks; what
+    is added to a task's own numbers is a row for each task.
     """
-    m = F.date_format(day, "yyyyMM").cast("int")
-    rows = df.withColumn("__m", m)
-    own = rows.groupBy("__m", F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    months = df.select(m.alias("__to")).distinct()
-    earlier = months.join(own, F.col("__m") < F.col("__to")).select(F.col("__to").alias("__m"), "__v", "__n").groupBy("__m", "__v").agg(F.sum("__n").alias("__n"))
-    schema = df.withColumn(threshold, F.lit(None).cast("double")).withColumn(out, F.lit(None).cast("double")).schema
-
-    def run(left, right):
-        import numpy as np
-
-        left = left.sort_values([day, order], kind="stable").drop(columns="__m")
-        values = sorted(set(right["__v"]) | set(left[value]))
-        place = {v: i + 1 for i, v in enumerate(values)}
-        tree = [0] * (len(values) + 1)
-
-        def add(v, n):
-            i = place[v]
-            while i < len(tree):
-                tree[i] += n
-                i += i & -i
-
-        def at(k):
-            """The k-th smallest value, from 0."""
-            pos, step, left_over = 0, 1 << len(tree).bit_length(), k
-            while step:
-                if pos + step < len(tree) and tree[pos + step] <= left_over:
-                    pos += step
-                    left_over -= tree[pos]
-                step >>= 1
-            return values[pos]
-
-        n = 0
-        for v, c in zip(right["__v"], right["__n"]):
-            add(v, int(c))
-            n += int(c)
-        limits = []
-        for v in left[value]:
-            if n >= min_history and n:
-                x = q * (n - 1)
-                lo = int(x)
-                a, b = at(lo), at(min(lo + 1, n - 1))
-                limits.append(a + (b - a) * (x - lo))
-            else:
-                limits.append(np.nan)
-            add(v, 1)
-            n += 1
-        limits = np.array(limits, float)
-        none = np.isnan(limits)
-        hit = (left[value].to_numpy(float) >= limits).astype(object)
-        left[threshold] = np.where(none, None, limits)
-        left[out] = np.where(none, None, hit * 1.0)
-        return left
-
-    return rows.groupBy("__m").cogroup(earlier.groupBy("__m")).applyInPandas(run, schema)
+    held = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__k"))
+    held = scratch.write(held)
+    sizes = held.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = sizes.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return held.join(F.broadcast(before), "__p").withColumn(out, F.col("__before") + F.col("__k")).drop("__p", "__k", "__before")
+
+
+#: Positions of a range that one task sums up. Three counts of 21 bits share a number, so a range has fewer than 2 ** 21 rows.
+LEAST_WIDTH, MOST_WIDTH = 1 << 13, 1 << 20
+
+
+def earlier_ranks(rows: DataFrame, wanted: DataFrame, top: int) -> DataFrame:
+    """(pos, which, found) of wanted (pos, which, rank): the code of that rank (from 0) among the rows (pos, code) at earlier positions.
+
+    Codes are whole numbers from 0 to top. They are settled two bits at a time, for all of wanted at once: among
+    the rows that begin with the bits found so far, those with each next digit are counted up to each
+    position, and the digit that holds the rank is taken. Counts are running sums inside ranges of positions,
+    to which the totals of the ranges before are added. A step's result is written to the shared folder.
+    """
+    width = min(max(LEAST_WIDTH, rows.count() // 256), MOST_WIDTH)
+    one = F.when(F.col("digit") == 0, 1).when(F.col("digit") == 1, 1 << 21).when(F.col("digit") == 2, 1 << 42).otherwise(0).cast("long")
+    part = lambda name, d: F.shiftright(name, 21 * d).bitwiseAND((1 << 21) - 1)
+    held = wanted.select("pos", "which", "rank", F.lit(0).cast("long").alias("found"))
+    for bits in reversed(range(0, max(int(top).bit_length(), 1), 2)):
+        entries = rows.select(F.shiftright("code", bits + 2).alias("group"), "pos", F.lit(1).alias("kind"), F.lit(None).cast("int").alias("which"), F.lit(None).cast("long").alias("rank"), F.shiftright("code", bits).bitwiseAND(3).alias("digit"))
+        both = entries.union(held.select(F.col("found").alias("group"), "pos", F.lit(0).alias("kind"), "which", "rank", F.lit(3).alias("digit")))
+        both = both.select("group", F.floor(F.col("pos") / width).alias("range"), "pos", "kind", "which", "rank", one.alias("one"))
+        w = Window.partitionBy("group", "range").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, 0)
+        inside = both.withColumn("inside", F.sum("one").over(w)).where("kind = 0")
+        earlier = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+        totals = both.groupBy("group", "range").agg(F.sum("one").alias("all"))
+        before = totals.select("group", "range", *[F.coalesce(F.sum(part("all", d)).over(earlier), F.lit(0)).alias(f"before{d}") for d in range(3)])
+        counted = inside.join(before, ["group", "range"]).withColumns({f"n{d}": F.col(f"before{d}") + part("inside", d) for d in range(3)})
+        counted = counted.select("pos", "which", "group", F.col("rank").alias("r"), F.col("n0").alias("u0"), (F.col("n0") + F.col("n1")).alias("u1"), (F.col("n0") + F.col("n1") + F.col("n2")).alias("u2"))
+        digit = F.when(F.col("r") < F.col("u0"), 0).when(F.col("r") < F.col("u1"), 1).when(F.col("r") < F.col("u2"), 2).otherwise(3)
+        passed = F.when(F.col("r") < F.col("u0"), F.lit(0).cast("long")).when(F.col("r") < F.col("u1"), F.col("u0")).when(F.col("r") < F.col("u2"), F.col("u1")).otherwise(F.col("u2"))
+        last, held = held, scratch.write(counted.select("pos", "which", (F.col("r") - passed).alias("rank"), (4 * F.col("group") + digit).alias("found")))
+        scratch.drop(last)
+    return held.select("pos", "which", "found")
+
+
+def expanding_quantile_flag(df: DataFrame, day: str, order: str, value: str, q: float, min_history: int, out: str, threshold: str) -> DataFrame:
+    """Whether an integer value reaches the q-quantile (interpolated) of all earlier rows' values; null for the first min_history rows."""
+    rows = numbered(df, [day, order], "__pos")
+    low, high = rows.agg(F.min(value), F.max(value)).first()
+    if low is None:
+        return df.withColumn(threshold, F.lit(None).cast("double")).withColumn(out, F.lit(None).cast("double"))
+    coded = scratch.write(rows.select(F.col("__pos").alias("pos"), (F.col(value) - low).cast("long").alias("code")))
+    spot = lambda pos: q * (F.col(pos) - 1)
+    rank = F.floor(spot("pos"))
+    asked = coded.where(F.col("pos") >= max(min_history, 1)).select("pos", F.posexplode(F.array(rank, F.least(rank + 1, F.col("pos") - 1))).alias("which", "rank"))
+    found = earlier_ranks(coded.where("code is not null"), asked, high - low)
+    scratch.drop(coded)
+    ends = found.groupBy(F.col("pos").alias("__pos")).agg(*[(F.max(F.when(F.col("which") == i, F.col("found"))) + low).cast("double").alias(f"__{i}") for i in (0, 1)])
+    limit = F.col("__0") + (F.col("__1") - F.col("__0")) * (spot("__pos") - F.floor(spot("__pos")))
+    both = rows.join(ends, "__pos", "left").withColumn(threshold, limit)
+    return both.withColumn(out, (F.col(value) >= F.col(threshold)).cast("double")).select(*df.columns, threshold, out)

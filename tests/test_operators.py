@@ -373,3 +373,28 @@ def test_interval_of_a_median_against_resampling(spark):
             lo, hi = np.percentile(draws, [2.5, 97.5])
             assert got[g].value == np.median(x) and abs(got[g].ci_low - lo) < 0.25 * (hi - lo) and abs(got[g].ci_high - hi) < 0.25 * (hi - lo) and got[g].n == len(x)
         assert (got["two"].value, got["two"].ci_low, got["two"].n) == (2.5, None, 2) and got[None].value == 3.0 and got[None].ci_low == 2.0
+
+
+@pytest.mark.parametrize("width", [1 << 13, 40])
+def test_ranks_among_earlier_rows(spark, monkeypatch, width):
+    """One value, one day and one moment may hold most rows; ranges of positions are cut anywhere."""
+    monkeypatch.setattr(windows, "LEAST_WIDTH", width)
+    r = random.Random(9)
+    values = [r.choice([7, 7, 7, r.randrange(1000)]) for _ in range(700)]
+    rows = spark.createDataFrame([(i, day(0 if i < 500 else i), v) for i, v in enumerate(values)], "id long, d date, v long")
+    out = windows.expanding_quantile_flag(rows.repartition(7), "d", "id", "v", 0.3, 10, "hit", "limit").orderBy("id").collect()
+    import numpy as np
+
+    assert all(x.limit is None and x.hit is None for x in out[:10])
+    for x in out[10:]:
+        want = float(np.quantile(values[: x.id], 0.3))
+        assert abs(x.limit - want) < 1e-9 and x.hit == float(x.v >= x.limit)
+    none = rows.limit(0)
+    assert windows.expanding_quantile_flag(none, "d", "id", "v", 0.3, 10, "hit", "limit").count() == 0
+
+
+def test_numbers_follow_the_order(spark):
+    rows = [(i % 3, r) for i, r in enumerate(random.Random(2).sample(range(5000), 900))] + [(None, 1), (2, None)]
+    got = windows.numbered(spark.createDataFrame(rows, "a int, b int").repartition(5), ["a", "b"], "n").orderBy("n").collect()
+    none_first = lambda x: (x is not None, x or 0)
+    assert [x.n for x in got] == list(range(902)) and [(x.a, x.b) for x in got] == sorted(rows, key=lambda x: tuple(map(none_first, x)))
