@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import binning, models, stats
+from .. import scratch
+from ..operators import attribution, binning, models, stats
 from .texts import table
 
 
@@ -209,8 +210,18 @@ def tree_importance(spark, sf_dir):
     return models.importances(_deals(spark, sf_dir), "y", ["c_acctbal", "month"], ["o_orderpriority", "c_mktsegment"])
 
 
+def attributions(spark, sf_dir):
+    """Mean absolute attribution of each feature over all deals, in the forest that tree_importance fits."""
+    deals = _deals(spark, sf_dir)
+    (rows,), xs = models.prepare(deals, [deals], ["c_acctbal", "month"], ["o_orderpriority", "c_mktsegment"])
+    rows = scratch.write(rows.select("y", *xs))
+    forest = models.fit_trees(rows, "y", xs, boosted=False)["forest"]
+    return attribution.mean_attributions(rows, xs, attribution.paths(forest))
+
+
 QUERIES = {
     "avg_rank_corr": (avg_rank_corr, RANK_CORR), "partial_rank_corr": (partial_rank_corr, PARTIAL), "corr_matrix_long": (corr_matrix_long, CORR), "selection_compare": (selection_compare, SELECTION), "kruskal": (kruskal, KRUSKAL),
     "levene": (levene, LEVENE), "fligner": (fligner, FLIGNER), "dispersion": (dispersion, DISPERSION), "ols_beta": (ols_beta, OLS), "lr_nested_ols": (lr_nested_ols, LR), "bh_adjust": (bh_adjust, BH),
     "bootstrap_medians": (bootstrap_medians, None), "ts_folds": (ts_folds, FOLDS), "fold_baselines": (fold_baselines, BASELINES), "ridge_cv": (ridge_cv, None), "holdout": (holdout, None), "tree_importance": (tree_importance, None),
+    "attributions": (attributions, None),
 }

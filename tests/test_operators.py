@@ -398,3 +398,72 @@ def test_numbers_follow_the_order(spark):
     got = windows.numbered(spark.createDataFrame(rows, "a int, b int").repartition(5), ["a", "b"], "n").orderBy("n").collect()
     none_first = lambda x: (x is not None, x or 0)
     assert [x.n for x in got] == list(range(902)) and [(x.a, x.b) for x in got] == sorted(rows, key=lambda x: tuple(map(none_first, x)))
+
+
+# attributions
+
+
+def conditional_mean(nodes, at, x, known):
+    value, rows, split = nodes[at]
+    if split is None:
+        return value
+    f, threshold, left, right = split
+    if f in known:
+        return conditional_mean(nodes, left if x[f] <= threshold else right, x, known)
+    return sum(conditional_mean(nodes, c, x, known) * nodes[c][1] / rows for c in (left, right))
+
+
+def random_tree(r, features, depth):
+    nodes = {}
+
+    def grow(rows, left):
+        at = len(nodes)
+        nodes[at] = None
+        if left == 0 or rows < 4 or r.random() < 0.15:
+            nodes[at] = (r.gauss(0, 3), rows, None)
+        else:
+            part = r.randrange(1, rows)
+            split = (r.randrange(features), r.uniform(-1, 1))
+            nodes[at] = (0.0, rows, (*split, grow(part, left - 1), grow(rows - part, left - 1)))
+        return at
+
+    grow(200, depth)
+    return nodes
+
+
+def test_attributions_against_all_subsets(spark):
+    import itertools
+    import math
+
+    from sextant.operators import attribution as A
+
+    r = random.Random(3)
+    k = 4
+    trees = [random_tree(r, k, d) for d in (0, 1, 3, 6, 6)]
+    xs = [[r.uniform(-1.2, 1.2) for _ in range(k)] for _ in range(40)]
+    found = [p for t in trees for p in A.paths_of_nodes(t, 0.5)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(xs)], "id int, " + ", ".join(f"`f {i}` double" for i in range(k)))
+    got = {row.id: list(row)[k + 1 :] for row in A.attribute(df, [f"f {i}" for i in range(k)], found).collect()}
+    for i, x in enumerate(xs):
+        game = lambda known: sum(0.5 * conditional_mean(t, 0, x, known) for t in trees)
+        for f in range(k):
+            others = [g for g in range(k) if g != f]
+            want = sum(math.factorial(n) * math.factorial(k - n - 1) / math.factorial(k) * (game({*s, f}) - game(set(s))) for n in range(k) for s in itertools.combinations(others, n))
+            assert abs(got[i][f] - want) < 1e-9
+        assert abs(sum(got[i]) + sum(p.mean() for p in found) - game(set(range(k)))) < 1e-9
+
+
+def test_attributions_of_fitted_models_add_up(spark):
+    from sextant.operators import attribution as A
+
+    r = random.Random(4)
+    rows = spark.createDataFrame([(r.random(), r.random(), r.random()) for _ in range(600)], "a double, b double, c double").withColumn("y", F.col("a") * 10 + (F.col("b") > 0.5).cast("double"))
+    fitted = models.fit_trees(rows, "y", ["a", "b", "c"], trees=8, depth=4)
+    for model in fitted.values():
+        found = A.paths(model)
+        out = A.attribute(models._vector(rows, ["a", "b", "c"]).transform(model.transform).drop("__features"), ["a", "b", "c"], found)
+        gap = out.select(F.abs(F.col("a_a") + F.col("a_b") + F.col("a_c") + F.lit(sum(p.mean() for p in found)) - F.col("prediction")).alias("gap")).agg(F.max("gap")).first()[0]
+        assert gap < 1e-9
+        mean = {x.feature: x.mean_abs for x in A.mean_attributions(rows, ["a", "b", "c"], found).collect()}
+        assert mean["a"] > 5 * mean["b"] > 5 * mean["c"]
+    assert A.mean_attributions(rows.limit(0), ["a"], []).first().mean_abs is None
