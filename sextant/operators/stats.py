@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -148,10 +149,10 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> dict:
     }
 
 
-def likelihood_ratio(df: DataFrame, y: str, small: list[str], large: list[str]) -> dict:
-    """Whether the columns of large beyond small help, on rows complete in all of them."""
-    rows = df.select(y, *large).na.drop()
-    a, b = ols(rows, y, small), ols(rows, y, large)
+def likelihood_ratio(df: DataFrame, y: str, small: list[str], large: list[str], fit: Callable = ols, also: list[str] = ()) -> dict:
+    """Whether the columns of large beyond small help, on rows complete in all of them and in the columns also, which fit reads beside them."""
+    rows = df.select(y, *large, *also).na.drop()
+    a, b = fit(rows, y, small), fit(rows, y, large)
     stat, dof = 2 * (b["llf"] - a["llf"]), b["rank"] - a["rank"]
     return {"statistic": stat, "dof": dof, "p": dist.chi2_upper(stat, dof) if dof > 0 else None, "n": b["n"], "delta_aic": b["aic"] - a["aic"], "delta_bic": b["bic"] - a["bic"], "r2_small": a["r2"], "r2_large": b["r2"]}
 

@@ -15,13 +15,12 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..functions import dist
 from . import binning, stats
+from .effects import absorbed_ols
 from .selection import group_quantiles
 from .windows import average_rank
 
 DRAWS, SEED, CELLS = 5000, 20240517, 1024
 Z = 1.959963984540054
-#: Levels of a fixed effect, which become columns of the driver's matrix; more raise an error.
-MAX_LEVELS = 1000
 
 
 def _known(df: DataFrame, *columns: str) -> DataFrame:
@@ -126,15 +125,6 @@ def binned_medians(df: DataFrame, column: str, target: str, q: int = 10, least:
     return resampled.join(held, "bin").select("bin", "n", "median", "ci_low", "ci_high", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p75"), "x")
 
 
-def dummies(df: DataFrame, column: str, prefix: str) -> tuple[DataFrame, list[str]]:
-    """0/1 columns for all levels but the first in order; a column with one level gives none. Null rows get nulls."""
-    levels = [r[0] for r in df.where(F.col(column).isNotNull()).select(F.col(column)).distinct().orderBy(column).limit(MAX_LEVELS + 1).collect()]
-    if len(levels) > MAX_LEVELS:
-        raise ValueError(f"{column} has more than {MAX_LEVELS} levels")
-    made = {f"{prefix}_{i}": (F.col(column) == F.lit(v)).cast("double") for i, v in enumerate(levels) if i}
-    return df.withColumns(made) if made else df, list(made)
-
-
 def varying(df: DataFrame, columns: list[str]) -> list[str]:
     """The columns that the table has and that hold two values or more."""
     found = [c for c in columns if c in df.columns]
@@ -156,12 +146,9 @@ def slope(df: DataFrame, y: str, x: str, controls: list[str] = (), fixed: list[s
     n = rows.count()
     if n < least:
         return {"n": n, "estimate": None, "ci_low": None, "ci_high": None, "p_value": None}
-    for i, c in enumerate(fixed):
-        rows, more = dummies(rows, c, f"__f{i}")
-        names += more
     if winsorise:
         rows = binning.winsorise(rows, y, y)
-    fit = stats.ols(rows, y, names)
+    fit = absorbed_ols(rows, y, names, list(fixed)) if fixed else stats.ols(rows, y, names)
     b, se = fit["beta"][1], fit["se"][1]
     return {"n": fit["n"], "estimate": b, "ci_low": b - Z * se, "ci_high": b + Z * se, "p_value": fit["p"][1]}
 
@@ -171,10 +158,7 @@ def interaction(df: DataFrame, y: str, x: str, flag: str, controls: list[str] =
     used = varying(df, list(controls))
     rows = df.select(*dict.fromkeys([y, x, flag, *used, *fixed])).na.drop().withColumn("__both", F.col(x) * F.col(flag))
     names = [x, flag, "__both", *used]
-    for i, c in enumerate(fixed):
-        rows, more = dummies(rows, c, f"__f{i}")
-        names += more
-    fit = stats.ols(rows, y, names)
+    fit = absorbed_ols(rows, y, names, list(fixed)) if fixed else stats.ols(rows, y, names)
     return {"estimate": fit["beta"][3], "se": fit["se"][3], "p_value": fit["p"][3], "main": fit["beta"][1], "main_p": fit["p"][1], "n": fit["n"]}
 
 
@@ -318,8 +302,7 @@ def incremental(df: DataFrame, target: str, base: list[str], more: list[str], se
     n = rows.count()
     if n < 60:
         return {"method": "insufficient data", "n": n, "statistic": None, "p_value": None}
-    rows, levels = dummies(rows, sector, "__f")
-    lr = stats.likelihood_ratio(rows, target, [*base, *levels], [*base, *levels, *more])
+    lr = stats.likelihood_ratio(rows, target, base, [*base, *more], lambda d, y, xs: absorbed_ols(d, y, xs, [sector]), [sector])
     # positive where the larger model is the better one
     return {"method": f"likelihood ratio, chi-square({lr['dof']})", "n": n, "statistic": lr["statistic"], "p_value": lr["p"], "delta_aic": -lr["delta_aic"], "delta_bic": -lr["delta_bic"]}
 

@@ -26,7 +26,7 @@ def events(spark, sf_dir):
     rows = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     tier = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1.0).when(F.col("o_orderpriority").isin("4-NOT SPECIFIED", "5-LOW"), 0.0)
     return rows.select(
-        "o_orderkey", (F.col("o_totalprice") / 1000).alias("y"), (F.col("d") / F.col("n")).alias("tone"), (F.col("m") / F.col("p")).alias("concentration"), F.col("c_acctbal").alias("climate"), tier.alias("tier"),
+        "o_orderkey", F.col("o_custkey").alias("customer"), (F.col("o_totalprice") / 1000).alias("y"), (F.col("d") / F.col("n")).alias("tone"), (F.col("m") / F.col("p")).alias("concentration"), F.col("c_acctbal").alias("climate"), tier.alias("tier"),
         F.year("o_orderdate").alias("year"), F.col("c_mktsegment").alias("sector"), F.col("q").cast("double").alias("length"), F.col("n").cast("double").alias("lines"),
         (F.col("c_nationkey") == 7).cast("int").alias("excluded"), (F.col("o_orderstatus") == "F").cast("int").alias("corrected"),
     )
@@ -99,6 +99,22 @@ v as (select sum(pow((y - b.b * x) / (1 - 1.0 / ng - x * x / sxx), 2) * x * x) /
 select round(b, 5) as estimate, round(b - 1.959963984540054 * sqrt(v), 5) as ci_low, round(b + 1.959963984540054 * sqrt(v), 5) as ci_high, n from b, v"""
 
 
+def customer_effects_ols(spark, sf_dir):
+    """An effect for each customer: thousands of levels."""
+    got = studies.slope(events(spark, sf_dir), "y", "length", fixed=["customer"])
+    return _row(spark, {"estimate": got["estimate"], "ci_low": got["ci_low"], "ci_high": got["ci_high"], "n": got["n"]}, 5)
+
+
+CUSTOMER_EFFECTS = FIXED.replace("partition by sector", "partition by o_custkey").replace("from ev window", "from ev join (select o_orderkey, o_custkey from orders) using (o_orderkey) window").replace("sum(pow((", "sum(case when ng > 1 then pow((").replace(", 2) * x * x)", ", 2) * x * x else 0 end)")
+
+
+def two_effects_ols(spark, sf_dir):
+    """Effects of customers and of months side by side."""
+    rows = events(spark, sf_dir).join(table(spark, sf_dir, "orders").select("o_orderkey", F.date_format("o_orderdate", "yyyyMM").alias("month")), "o_orderkey")
+    got = studies.slope(rows, "y", "length", ["lines"], ["customer", "month"])
+    return _row(spark, got, 5)
+
+
 def hypothesis_statistics(spark, sf_dir):
     """Statistics of the tests whose laws SQL can say: rank correlations and Levene's test."""
     rows = events(spark, sf_dir)
@@ -201,7 +217,7 @@ def holdout_residuals(spark, sf_dir):
 
 QUERIES = {
     "decile_medians": (decile_medians, DECILES), "spearman_interval": (spearman_interval, SPEARMAN), "rho_difference": (rho_difference, DIFFERENCE), "interaction_ols": (interaction_ols, INTERACTION),
-    "fixed_effects_ols": (fixed_effects_ols, FIXED), "hypothesis_statistics": (hypothesis_statistics, STATISTICS), "hypothesis_summary": (hypothesis_summary, None), "robustness_table": (robustness_table, None),
+    "fixed_effects_ols": (fixed_effects_ols, FIXED), "customer_effects_ols": (customer_effects_ols, CUSTOMER_EFFECTS), "two_effects_ols": (two_effects_ols, None), "hypothesis_statistics": (hypothesis_statistics, STATISTICS), "hypothesis_summary": (hypothesis_summary, None), "robustness_table": (robustness_table, None),
     "category_ranks": (category_ranks, CATEGORIES), "pearson_corr": (pearson_corr, PEARSON), "climate_terciles": (climate_terciles, TERCILES), "sector_year": (sector_year, SECTOR_YEAR), "extreme_rows": (extreme_rows, EXTREMES),
     "fold_summary": (fold_summary, FOLD_SUMMARY), "model_ranges": (model_ranges, None), "holdout_residuals": (holdout_residuals, None),
 }

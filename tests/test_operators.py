@@ -467,3 +467,38 @@ def test_attributions_of_fitted_models_add_up(spark):
         mean = {x.feature: x.mean_abs for x in A.mean_attributions(rows, ["a", "b", "c"], found).collect()}
         assert mean["a"] > 5 * mean["b"] > 5 * mean["c"]
     assert A.mean_attributions(rows.limit(0), ["a"], []).first().mean_abs is None
+
+
+# fixed effects
+
+
+@pytest.mark.parametrize("effects", [["f"], ["f", "g"], ["g", "f"]])
+def test_absorbed_effects_against_columns_for_levels(spark, effects):
+    import numpy as np
+
+    from sextant.operators.effects import absorbed_ols
+
+    r = np.random.default_rng(7)
+    n = 900
+    f, g = r.integers(0, 250, n), r.integers(0, 12, n)
+    f[:300] = 3  # one level holds a third
+    f[-1], g[-1] = 999, 5  # and one a single row
+    x, z = r.normal(size=n) + 0.1 * g, r.normal(size=n)
+    y = 2 * x - z + 0.3 * (f % 7) - 0.5 * g + r.normal(size=n) * (1 + np.abs(x))
+    df = spark.createDataFrame([(float(a), float(b), float(c), int(d), f"level {e}") for a, b, c, d, e in zip(y, x, z, f, g)] + [(1.0, None, 1.0, 1, "a"), (1.0, 2.0, 1.0, None, "a")], "y double, x double, z double, f long, g string")
+    df = df.withColumn("of_f", F.col("f") * 2.0)  # explained wholly by f
+    xs = ["x", "z", "of_f"] if "f" in effects else ["x", "z"]
+    got = absorbed_ols(df, "y", xs, effects)
+    held = [np.eye(int(k.max()) + 1)[k] for k, name in ((f, "f"), (g, "g")) if name in effects]
+    design = np.column_stack([x, z, *held])
+    inv = np.linalg.pinv(design.T @ design)
+    beta = inv @ design.T @ y
+    e = y - design @ beta
+    h = np.einsum("ij,jk,ik->i", design, inv, design)
+    w = np.where(1 - h > 1e-9, e / np.maximum(1 - h, 1e-9), 0) ** 2
+    se = np.sqrt(np.maximum(np.diag(inv @ (design.T * w) @ design @ inv), 0))
+    # a complete row with a null x or level is left out
+    assert got["n"] == n and got["rank"] == np.linalg.matrix_rank(design)
+    for i in (0, 1):
+        assert abs(got["beta"][i + 1] - beta[i]) < 1e-8 and abs(got["se"][i + 1] - se[i]) < 1e-8
+    assert abs(got["ssr"] - e @ e) < 1e-6 and (len(xs) == 2 or got["beta"][3] == 0)
