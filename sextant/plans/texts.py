@@ -183,9 +183,11 @@ def _without(page: str, place: str, size: int) -> str:
     return f"case when {place} > 0 then left({page}, {place} - 1) || repeat('#', {size}) || substr({page}, {place} + {size}) else {page} end"
 
 
+_TERMS = D.search_terms({"the and attion": "Attion Partners", "disgusting pathetic": "Pathetic Brothers", "the": "The House"}, {"that and": "That and Sons", "loser": "Loser"}, {"loser"})
+
+
 def spot_entities(spark, sf_dir):
-    terms = D.search_terms({"the and attion": "Attion Partners", "disgusting pathetic": "Pathetic Brothers", "the": "The House"}, {"that and": "That and Sons", "loser": "Loser"}, {"loser"})
-    return D.spot_entities(table(spark, sf_dir, "documents"), "doc_id", "text", terms).select("doc_id", F.array_join("names", "; ").alias("names"), F.size("names").alias("n"))
+    return D.spot_entities(table(spark, sf_dir, "documents"), "doc_id", "text", _TERMS).select("doc_id", F.array_join("names", "; ").alias("names"), F.size("names").alias("n"))
 
 
 # a term's first place, the longest first, each on the page without the characters of the longer ones
@@ -198,8 +200,22 @@ p7 as (select *, {_place('page3', 'the')} as d from p6),
 n as (select doc_id, unnest([struct_pack(p := a, n := 'Pathetic Brothers'), struct_pack(p := b, n := 'Attion Partners'), struct_pack(p := c, n := 'That and Sons'), struct_pack(p := d, n := 'The House')]) as x from p7)
 select doc_id, coalesce(string_agg(x.n, '; ' order by x.p) filter (where x.p > 0), '') as names, (count(*) filter (where x.p > 0))::int as n from n group by doc_id"""
 
+_COUNSEL = "Copies to: Disgusting Pathetic of The and Attion, counsel. "
+
+
+def spot_underwriters(spark, sf_dir):
+    """Entities on pages that begin with a list of counsel, without the issuer's own names."""
+    docs = table(spark, sf_dir, "documents")
+    page = F.concat(F.lit(_COUNSEL + "Approximate date of commencement of sale: soon. "), F.coalesce("text", F.lit("")))
+    issuer = F.when(F.col("doc_id") % 2 == 0, "Attion Partners, Inc.").when(F.col("doc_id") % 3 == 0, "That and Sons & Co. (Holding)")
+    return D.spot_entities(docs.select("doc_id", page.alias("page"), issuer.alias("issuer")), "doc_id", "page", _TERMS, "issuer").select("doc_id", F.array_join("names", "; ").alias("names"))
+
+
+UNDERWRITERS = ENTITIES.replace("left(regexp_replace(left(coalesce(text, ''), 60000), '\\s+', ' ', 'g'), 20000)", f"""' ' || substr(left(regexp_replace(left('{_COUNSEL}Approximate date of commencement of sale: soon. ' || coalesce(text, ''), 60000), '\\s+', ' ', 'g'), 20000), {len(_COUNSEL) + 1})""")
+UNDERWRITERS = UNDERWRITERS.replace("filter (where x.p > 0), '') as names, (count(*) filter (where x.p > 0))::int as n from", "filter (where x.p > 0 and not (doc_id % 2 = 0 and x.n = 'Attion Partners') and not (doc_id % 2 <> 0 and doc_id % 3 = 0 and x.n = 'That and Sons')), '') as names from")
+
 QUERIES = {
     "tone_by_bin": (tone_by_bin, TONE_BIN), "tokenise_stats": (tokenise_stats, TOKENISE), "tone_ratios": (tone_ratios, TONE), "section_tone_concentration": (section_tone_concentration, SECTION_TONE),
     "fog_index": (fog_index, FOG), "tfidf_top_terms": (tfidf_top_terms, TFIDF), "expanding_uniqueness": (expanding_uniqueness, UNIQUENESS), "html_to_text": (html_to_text, HTML),
-    "page_sections": (page_sections, SECTIONS), "share_count_extract": (share_count_extract, SHARES), "normalise_names": (normalise_names, NAMES), "spot_entities": (spot_entities, ENTITIES),
+    "page_sections": (page_sections, SECTIONS), "share_count_extract": (share_count_extract, SHARES), "normalise_names": (normalise_names, NAMES), "spot_entities": (spot_entities, ENTITIES), "spot_underwriters": (spot_underwriters, UNDERWRITERS),
 }

@@ -502,3 +502,46 @@ def test_absorbed_effects_against_columns_for_levels(spark, effects):
     for i in (0, 1):
         assert abs(got["beta"][i + 1] - beta[i]) < 1e-8 and abs(got["se"][i + 1] - se[i]) < 1e-8
     assert abs(got["ssr"] - e @ e) < 1e-6 and (len(xs) == 2 or got["beta"][3] == 0)
+
+
+# entities
+
+
+def test_terms_against_a_pattern_each():
+    import re
+
+    r = random.Random(11)
+    alphabet = ["ab", "a", "b", "é", "_", "1", "the", "x"]
+    for _ in range(300):
+        text = lambda n: "".join(r.choice(alphabet) + r.choice(["", " ", " "]) for _ in range(n)).strip() or "a"
+        page = text(60)
+        terms = sorted({text(r.randrange(1, 4)) for _ in range(12)}, key=len, reverse=True)
+        names = [f"n{i % 7}" for i in range(len(terms))]
+        taken, first = [False] * len(page), {}
+        for term, name in zip(terms, names):
+            for m in re.finditer(f"(?<![0-9A-Za-z])(?={re.escape(term)}(?![0-9A-Za-z]))", page):
+                a, b = m.start(), m.start() + len(term)
+                if not any(taken[a:b]):
+                    taken[a:b] = [True] * len(term)
+                    first[name] = min(a, first.get(name, a))
+                    break
+        assert D.spot(page, D.TermTrie(terms), names, dict.fromkeys(names, "")) == sorted(first, key=first.get)
+
+
+def test_many_terms_cost_a_page_no_more_than_few():
+    import time
+
+    r = random.Random(12)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 8))) for _ in range(3000)]
+    pages = [" ".join(r.choice(words) for _ in range(2000)) for _ in range(40)]
+    terms = sorted({f"{r.choice(words)} {r.choice(words)} zz{i}" for i in range(10_000)}, key=len, reverse=True)
+
+    def seconds(some):
+        trie, names = D.TermTrie(some), [""] * len(some)
+        began = time.process_time()
+        for p in pages:
+            D.spot(p, trie, names, {"": ""})
+        return time.process_time() - began
+
+    seconds(terms[:10])
+    assert min(seconds(terms) for _ in range(3)) < 3 * min(seconds(terms[:10]) for _ in range(3))
