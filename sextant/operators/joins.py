@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions.columns import present
+from .selection import per_group
 
 #: Rows of a dimension up to which it is broadcast; larger ones take the as-of route.
 BROADCAST_ROWS = 100_000
+#: Rows from which on a group of an as-of join is cut, and into how many parts.
+HOT_ROWS, CUTS = 1_000_000, 128
 
 
 def asof_before(left: DataFrame, right: DataFrame, at: str, of: str, values: list[str], by: list[str] = (), matched: str = "matched_at") -> DataFrame:
@@ -16,7 +20,8 @@ def asof_before(left: DataFrame, right: DataFrame, at: str, of: str, values: lis
 
     Both sides are merged into one ordered stream per group, so the cost is one sort and no pair is made. Of right
     rows with equal times the largest values win. Without a group the stream is cut by calendar
-    day: each day is a group of its own that starts with the last right row of earlier days.
+    day: each day is a group of its own that starts with the last right row of earlier days. Groups and days of more than
+    HOT_ROWS rows are cut further, at times that split them evenly, and each cut starts with the last right row of the cuts before.
     """
     v = F.struct(F.col(of).alias("t"), *[F.col(c) for c in values])
     carried = [c for c in left.columns]
@@ -31,13 +36,39 @@ def asof_before(left: DataFrame, right: DataFrame, at: str, of: str, values: lis
         days = l.select(day.alias("day")).distinct().join(daily, "day", "full")
         ends = days.withColumn("before", F.last("v", True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))).select("day", "before")
         l, r, keys = l.withColumn("day", day), r.withColumn("day", day), ["day"]
+    stream = l.unionByName(r)
+    hot = _hot_groups(stream, keys)
+    if hot is not None:
+        cut = F.coalesce(F.size(F.filter("edges", lambda e: e < _number(stream))), F.lit(0))
+        stream = per_group(stream, hot, keys, how="left").withColumn("cut", cut).drop("edges")
+        before = Window.partitionBy(*keys).orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)  # CUTS rows a group at most
+        tails = stream.groupBy(*keys, "cut").agg(F.max("v").alias("tail")).withColumn("tail", F.last("tail", True).over(before))
+        keys = [*keys, "cut"]
+        stream = per_group(stream, tails, keys)
     w = Window.partitionBy(*keys).orderBy(F.col("t"), F.col("side"), F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    out = l.unionByName(r).withColumn("found", F.last("v", True).over(w)).where("side = 0")
+    out = stream.withColumn("found", F.last("v", True).over(w)).where("side = 0")
+    if hot is not None:
+        out = out.withColumn("found", F.coalesce("found", "tail"))
     if ends is not None:
         out = out.join(ends, "day", "left").withColumn("found", F.coalesce("found", "before"))
     return out.select("row.*", F.col("found.t").alias(matched), *[F.col(f"found.{c}").alias(c) for c in values])
 
 
+def _number(df: DataFrame) -> F.Column:
+    """The time t as a number."""
+    return F.col("t").cast("timestamp").cast("double") if dict(df.dtypes)["t"] in ("date", "timestamp", "timestamp_ntz") else F.col("t").cast("double")
+
+
+def _hot_groups(stream: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(keys, edges) of groups with more than HOT_ROWS rows; None if there are none. They are no more than a HOT_ROWS-th of the rows, so they may be broadcast."""
+    sizes = stream.groupBy(*keys).agg(F.count("*").alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= HOT_ROWS:
+        return None
+    shares = [i / CUTS for i in range(1, CUTS)]
+    sized = stream.groupBy(*keys).agg(F.count("*").alias("n"), F.percentile_approx(_number(stream), shares, 4 * CUTS).alias("edges"))
+    return F.broadcast(scratch.write(sized.where(F.col("n") > HOT_ROWS).select(*keys, "edges")))
+
+
 def _kind(df: DataFrame, of: str, values: list[str]):
     return df.select(F.struct(F.col(of).alias("t"), *values).alias("v")).schema["v"].dataType
 

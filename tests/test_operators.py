@@ -545,3 +545,31 @@ def test_many_terms_cost_a_page_no_more_than_few():
 
     seconds(terms[:10])
     assert min(seconds(terms) for _ in range(3)) < 3 * min(seconds(terms[:10]) for _ in range(3))
+
+
+# as-of joins of hot groups
+
+
+@pytest.mark.parametrize("by", [["k"], []])
+def test_asof_with_a_key_that_holds_nine_tenths(spark, monkeypatch, by):
+    monkeypatch.setattr(joins, "HOT_ROWS", 100)
+    monkeypatch.setattr(joins, "CUTS", 8)
+    r = random.Random(13)
+    key = lambda: r.choice(["hot"] * 9 + ["a", None])
+    moment = lambda: dt.datetime(2024, 1, 1 + r.choice([0, 0, 0, 0, 1, 5]), r.randrange(24), r.randrange(3))
+    left = [(i, key(), moment()) for i in range(900)]
+    right = [(key(), moment(), r.randrange(9)) for _ in range(500)] + [("hot", None, 1)]
+    a = spark.createDataFrame(left, "id int, k string, at timestamp")
+    b = spark.createDataFrame(right, "k string, of timestamp, v int")
+    if not by:
+        b = b.drop("k")
+    got = {x.id: (x.matched_at, x.v) for x in joins.asof_before(a, b, "at", "of", ["v"], by).collect()}
+    assert len(got) == len(left)
+    for i, k, at in left:
+        earlier = [(of, v) for kk, of, v in right if of and of < at and (not by or kk == k)]
+        assert got[i] == max(earlier, default=(None, None))
+    # the groups that are ordered at once stay below twice a cut's share
+    stream = a.select(F.col("at").alias("t"), "k").where("k = 'hot'")
+    edges = joins._hot_groups(stream, ["k"]).first().edges
+    sizes = stream.groupBy(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < joins._number(stream))).alias("cut")).count().agg(F.max("count")).first()[0]
+    assert len(edges) == 7 and sizes < 2 * stream.count() / 8 + 30
