@@ -118,6 +118,19 @@ def tfidf_top_terms(spark, sf_dir):
 TFIDF = f"with {_tfidf_sql('documents')} select term, count(*) as df, round(sum(w), 5) as weight from unit group by term order by weight desc, term limit 25"
 
 
+#: Frequent words of the synthetic corpus.
+STOP = ["the", "and", "of", "to", "is", "la", "de", "que", "die", "und", "el", "on"]
+
+
+def tfidf_stop_terms(spark, sf_dir):
+    """Top terms without stop words, which go before pairs of words are made."""
+    w = D.term_weights(table(spark, sf_dir, "documents"), "doc_id", "text", STOP)
+    return w.groupBy("term").agg(F.count("*").alias("df"), F.round(F.sum("w"), 5).alias("weight")).orderBy(F.desc("weight"), "term").limit(25)
+
+
+TFIDF_STOP = TFIDF.replace("length(x) >= 2", f"length(x) >= 2 and x not in ({', '.join(repr(w) for w in STOP)})")
+
+
 def expanding_uniqueness(spark, sf_dir):
     out = D.expanding_uniqueness(table(spark, sf_dir, "documents"), "doc_id", "text", "source", ["doc_id"])
     return out.select("doc_id", "prior", F.round("uniqueness", 6).alias("uniqueness"))
@@ -216,6 +229,6 @@ UNDERWRITERS = UNDERWRITERS.replace("filter (where x.p > 0), '') as names, (coun
 
 QUERIES = {
     "tone_by_bin": (tone_by_bin, TONE_BIN), "tokenise_stats": (tokenise_stats, TOKENISE), "tone_ratios": (tone_ratios, TONE), "section_tone_concentration": (section_tone_concentration, SECTION_TONE),
-    "fog_index": (fog_index, FOG), "tfidf_top_terms": (tfidf_top_terms, TFIDF), "expanding_uniqueness": (expanding_uniqueness, UNIQUENESS), "html_to_text": (html_to_text, HTML),
+    "fog_index": (fog_index, FOG), "tfidf_top_terms": (tfidf_top_terms, TFIDF), "tfidf_stop_terms": (tfidf_stop_terms, TFIDF_STOP), "expanding_uniqueness": (expanding_uniqueness, UNIQUENESS), "html_to_text": (html_to_text, HTML),
     "page_sections": (page_sections, SECTIONS), "share_count_extract": (share_count_extract, SHARES), "normalise_names": (normalise_names, NAMES), "spot_entities": (spot_entities, ENTITIES), "spot_underwriters": (spot_underwriters, UNDERWRITERS),
 }
