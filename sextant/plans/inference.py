@@ -143,17 +143,32 @@ def lr_nested_ols(spark, sf_dir):
 
 LR = "with r as (select regr_r2(l_extendedprice / 1000, l_discount) as r2, count(*) as n from lineitem) select round(-n * ln(1 - r2), 5) as statistic, 1::bigint as dof, n, round(2 + n * ln(1 - r2), 5) as delta_aic from r"
 
-_P = [("a", 0.001), ("b", 0.2), ("c", 0.03), ("d", None), ("e", 0.04), ("f", 0.9)]
-
 
 def bh_adjust(spark, sf_dir):
-    out = stats.adjust(spark.createDataFrame(_P, "test string, p double"), "test", "p")
-    return out.select("test", "p", F.round("p_bonferroni", 6).alias("p_bonferroni"), F.round("p_bh", 6).alias("p_bh"), F.coalesce(F.col("p_bh") < 0.05, F.lit(False)).alias("significant"))
+    """A test for each nation whether its customers' and suppliers' balances differ from all others', adjusted as one family.
+
+    The sum of two independent squared normal scores has an exponential upper tail. Nations without two of a kind have no test.
+    """
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("test"))
+    x = F.lit(0.0)
+    for name, key, balance in (("customer", "c_nationkey", "c_acctbal"), ("supplier", "s_nationkey", "s_acctbal")):
+        rows = table(spark, sf_dir, name)
+        per = rows.groupBy(F.col(key).alias("n_nationkey")).agg(F.avg(balance).alias(f"{name}_mean"), F.stddev_samp(balance).alias(f"{name}_std"), F.count("*").alias(f"{name}_n"))
+        mean = rows.agg(F.avg(balance)).first()[0]
+        nations = nations.join(per, "n_nationkey", "left")
+        x = x + F.pow((F.col(f"{name}_mean") - float(mean)) / F.nullif(F.col(f"{name}_std"), F.lit(0.0)) * F.sqrt(f"{name}_n"), F.lit(2.0))
+    out = stats.adjust(nations.select("test", F.exp(-x / 2).alias("p")), "test", "p")
+    return out.select("test", *[F.round(c, 6).alias(c) for c in ("p", "p_bonferroni", "p_bh")], F.coalesce(F.col("p_bh") < 0.05, F.lit(False)).alias("significant"))
+
+
+def _score(t: str, key: str, x: str) -> str:
+    return f"select {key} as n_nationkey, pow((avg({x}) - (select avg({x}) from {t})) / nullif(stddev_samp({x}), 0) * sqrt(count(*)), 2) as x from {t} group by 1"
 
 
-BH = f"""with t(test, p) as (values {", ".join(f"('{a}', {'null' if b is None else b}::double)" for a, b in _P)}), r as (select *, count(p) over () as m, row_number() over (order by p nulls last, test) as k from t),
+BH = f"""with t as (select n_name as test, exp(-(c.x + s.x) / 2) as p from nation left join ({_score('customer', 'c_nationkey', 'c_acctbal')}) c using (n_nationkey) left join ({_score('supplier', 's_nationkey', 's_acctbal')}) s using (n_nationkey)),
+r as (select *, count(p) over () as m, row_number() over (order by p nulls last, test) as k from t),
 b as (select *, min(p * m / k) over (order by k desc rows between unbounded preceding and current row) as q from r where p is not null)
-select t.test, t.p, round(case when b.p is not null then least(b.p * b.m, 1) end, 6) as p_bonferroni, round(case when q is not null then least(q, 1) end, 6) as p_bh, coalesce(q < 0.05, false) as significant from t left join b on b.test = t.test"""
+select t.test, round(t.p, 6) as p, round(case when b.p is not null then least(b.p * b.m, 1) end, 6) as p_bonferroni, round(case when q is not null then least(q, 1) end, 6) as p_bh, coalesce(q < 0.05, false) as significant from t left join b on b.test = t.test"""
 
 
 def bootstrap_medians(spark, sf_dir):

@@ -153,6 +153,41 @@ HTML = r"""with t as (select page_id, trim(regexp_replace(regexp_replace(regexp_
 select page_id, length(text) as n_chars, sha256(text) as text_sha256 from t"""
 
 
+def html_exact(spark, sf_dir):
+    """Pages made of documents with scripts, styles and character references, read by the parser."""
+    body = F.coalesce("text", F.lit(""))
+    for sign, reference in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("é", "&eacute;"), ("ü", "&#252;"), ("ñ", "&#xF1;")):
+        body = F.replace(body, F.lit(sign), F.lit(reference))
+    html = F.concat(F.lit("<html><head><meta charset='utf-8'><link rel='x'><style>p > a { color: red }</style></head><body><p class='a>b'>"), body, F.lit("</p><script>if (a < b) { x('<p>no</p>'); }</script></body></html>"))
+    t = table(spark, sf_dir, "documents").select("doc_id", T.exact_text(html).alias("text"))
+    return t.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
+# the text that went in, with blanks and blank lines collapsed
+HTML_EXACT = r"""with t as (select doc_id, regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as text from documents)
+select doc_id, length(text) as n_chars, sha256(text) as text_sha256 from t"""
+
+
+def risk_tone(spark, sf_dir):
+    """Lexicon share of a filing's risk section against the whole filing; sections of at least 100 tokens."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    page = lambda heading, body: [F.lit(f"\nTable of Contents\n{heading}\n"), body]
+    filing = F.concat(*page("PROSPECTUS SUMMARY", F.lit("With us.")), *page("RISK FACTORS", F.col("text")), *[x for h in ("USE OF PROCEEDS", "DIVIDEND POLICY", "LEGAL MATTERS") for x in page(h, F.lit("And none."))])
+    filings = docs.select("doc_id", filing.alias("body"))
+    risk = D.sections(filings, ["doc_id"], "body").where("section = 'risk_factors'").select("doc_id", F.lit("rf").alias("section"), "body")
+    s = D.lexicon_shares(filings.select("doc_id", F.lit("full").alias("section"), "body").union(risk), ["doc_id", "section"], "body", lexicon(spark)).where("section = 'full' or n_tokens >= 100").where("category = 'positive'")
+    wide = s.groupBy("doc_id").pivot("section", ["full", "rf"]).agg(F.first("share"))
+    return wide.select("doc_id", F.round("full", 6).alias("share"), F.round("rf", 6).alias("rf_share"), F.round(ratio(F.col("rf"), F.col("full")), 6).alias("concentration"))
+
+
+RISK_TONE = SECTION_TONE.replace(
+    _TOKENS.format("text"), _TOKENS.format("filing")
+).replace(_TOKENS.format("string_split(text, chr(10))[1]"), _TOKENS.format("risk")).replace("from documents where text is not null", "from filings").replace("'opening'", "'rf'").replace("len(t) >= 10)", "len(t) >= 100)")
+RISK_TONE = RISK_TONE.replace("parts as (", """filings as (select doc_id, 'Table of Contents PROSPECTUS SUMMARY With us. Table of Contents RISK FACTORS ' || text || ' Table of Contents USE OF PROCEEDS And none. Table of Contents DIVIDEND POLICY And none. Table of Contents LEGAL MATTERS And none.' as filing,
+  case when length(text) + 31 >= 500 then 'RISK FACTORS ' || text || ' Table of Contents' end as risk from documents where text is not null),
+parts as (""", 1).replace("as full_share, round(o, 6) as opening_share", "as share, round(o, 6) as rf_share")
+
+
 def page_sections(spark, sf_dir):
     """Documents bound to filings with page breaks and headings, then split again."""
     docs = table(spark, sf_dir, "documents")
@@ -168,12 +203,18 @@ select doc_id, section, length(body) as n_chars from b where length(body) >= 500
 
 
 def share_count_extract(spark, sf_dir):
+    """Share counts of documents into whose text a banner is set after the first line; the count depends on the text."""
     docs = table(spark, sf_dir, "documents")
-    banner = F.concat(F.lit("PRELIMINARY PROSPECTUS "), F.format_number(F.col("doc_id") * 7919 + 100_000, 0), F.lit(" Shares Common Stock "), F.col("text"))
-    return docs.select("doc_id", T.filed_shares(F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(banner)).alias("shares"))
+    cut = F.locate("\n", F.col("text"))
+    banner = F.concat(F.lit(" PRELIMINARY PROSPECTUS "), F.format_number(F.char_length("text") * 7919 + 100_000, 0), F.lit(" Shares Common Stock "))
+    page = F.when(cut > 0, F.concat(F.substring("text", F.lit(1), cut), banner, F.substring(F.col("text"), cut + 1, F.char_length("text")))).otherwise(F.col("text"))
+    return docs.select("doc_id", T.filed_shares(page).alias("shares"))
 
 
-SHARES = "select doc_id, case when doc_id % 3 <> 0 then (doc_id * 7919 + 100000)::double end as shares from documents"
+# found by a search of the same pages
+SHARES = r"""with p as (select doc_id, case when instr(text, chr(10)) > 0 then left(text, instr(text, chr(10))) || ' PRELIMINARY PROSPECTUS ' || format('{:,}', length(text) * 7919 + 100000) || ' Shares Common Stock ' || substr(text, instr(text, chr(10)) + 1) else coalesce(text, '') end as page from documents),
+c as (select doc_id, regexp_extract(left(regexp_replace(left(page, 60000), '\s+', ' ', 'g'), 8000), '(?is)(?:prospectus|subject\s+to\s+completion).{0,180}?\b(\d[\d,]{5,})\s+(?:shares|american\s+depositary\s+shares|adss|units)\b', 1) as n from p)
+select doc_id, nullif(replace(n, ',', ''), '')::double as shares from c"""
 
 
 def normalise_names(spark, sf_dir):
@@ -229,6 +270,6 @@ UNDERWRITERS = UNDERWRITERS.replace("filter (where x.p > 0), '') as names, (coun
 
 QUERIES = {
     "tone_by_bin": (tone_by_bin, TONE_BIN), "tokenise_stats": (tokenise_stats, TOKENISE), "tone_ratios": (tone_ratios, TONE), "section_tone_concentration": (section_tone_concentration, SECTION_TONE),
-    "fog_index": (fog_index, FOG), "tfidf_top_terms": (tfidf_top_terms, TFIDF), "tfidf_stop_terms": (tfidf_stop_terms, TFIDF_STOP), "expanding_uniqueness": (expanding_uniqueness, UNIQUENESS), "html_to_text": (html_to_text, HTML),
+    "fog_index": (fog_index, FOG), "tfidf_top_terms": (tfidf_top_terms, TFIDF), "tfidf_stop_terms": (tfidf_stop_terms, TFIDF_STOP), "expanding_uniqueness": (expanding_uniqueness, UNIQUENESS), "html_to_text": (html_to_text, HTML), "html_exact": (html_exact, HTML_EXACT), "risk_tone": (risk_tone, RISK_TONE),
     "page_sections": (page_sections, SECTIONS), "share_count_extract": (share_count_extract, SHARES), "normalise_names": (normalise_names, NAMES), "spot_entities": (spot_entities, ENTITIES), "spot_underwriters": (spot_underwriters, UNDERWRITERS),
 }
