@@ -573,3 +573,59 @@ def test_asof_with_a_key_that_holds_nine_tenths(spark, monkeypatch, by):
     edges = joins._hot_groups(stream, ["k"]).first().edges
     sizes = stream.groupBy(F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < joins._number(stream))).alias("cut")).count().agg(F.max("count")).first()[0]
     assert len(edges) == 7 and sizes < 2 * stream.count() / 8 + 30
+
+
+# leaf-wise boosting
+
+
+def plain_boost(codes, y, rounds, step, leaves, least, l2):
+    """Predictions of best-first trees, one split after the other."""
+    import numpy as np
+
+    total = np.full(len(y), y.mean())
+    for _ in range(rounds):
+        g, groups = total - y, [np.arange(len(y))]
+
+        def best(rows):
+            found = (1e-9, None)
+            score = lambda r: g[r].sum() ** 2 / (len(r) + l2)
+            for f in range(codes.shape[1]):
+                for b in range(codes[rows, f].max()):
+                    left = codes[rows, f] <= b
+                    if min(left.sum(), (~left).sum()) >= least:
+                        gain = score(rows[left]) + score(rows[~left]) - score(rows)
+                        if gain > found[0] + 1e-9:
+                            found = (gain, (rows[left], rows[~left]))
+            return found
+
+        plans = [best(groups[0])]
+        while len(groups) < leaves and max(p[0] for p in plans if p[1] is not None or p[0]) > 1e-9 and any(p[1] is not None for p in plans):
+            i = max((i for i, p in enumerate(plans) if p[1] is not None), key=lambda i: plans[i][0])
+            a, b = plans[i][1]
+            groups[i : i + 1], plans[i : i + 1] = [a, b], [best(a), best(b)]
+        for rows in groups:
+            total[rows] -= step * g[rows].sum() / (len(rows) + l2)
+    return total
+
+
+def test_leaf_wise_boosting_against_numpy(spark, monkeypatch):
+    import numpy as np
+
+    from sextant.operators import attribution as A, boosting
+
+    monkeypatch.setattr(boosting, "KEEP", 2)
+    r = np.random.default_rng(15)
+    x = np.column_stack([r.normal(size=500), r.integers(0, 4, 500), r.normal(size=500)])
+    y = np.where(x[:, 0] > 0.3, 3.0, 0.0) + x[:, 1] ** 2 + r.normal(size=500)
+    df = spark.createDataFrame([(i, *map(float, row), float(t)) for i, (row, t) in enumerate(zip(x, y))] + [(999, 0.0, 0.0, 0.0, None)], "id int, a double, `b c` double, d double, y double").repartition(3)
+    features = ["a", "b c", "d"]
+    model = boosting.boost(df, "y", features, rounds=5, step=0.3, leaves=7, least=8, l2=2.0, row_share=1.0, column_share=1.0)
+    got = {row.id: row for row in A.attribute(model.predict(df), features, model.paths()).collect()}
+    codes = np.column_stack([np.searchsorted(np.array(e), x[:, f], "left") for f, e in enumerate(model.edges)])
+    want = plain_boost(codes, y, 5, 0.3, 7, 8, 2.0)
+    assert max(abs(got[i].prediction - want[i]) for i in range(500)) < 1e-9
+    assert all(len([s for s in t.split if s is None]) == 7 and min(n for s, n in zip(t.split, t.rows) if s is None) >= 8 for t in model.trees)
+    mean = model.base + sum(p.mean() for p in model.paths())
+    assert max(abs(mean + row["a_a"] + row["a_b c"] + row["a_d"] - row.prediction) for row in got.values()) < 1e-9
+    part = boosting.boost(df, "y", features, rounds=3, leaves=4)
+    assert all(350 < t.rows[0] < 450 for t in part.trees) and part.predict(df.limit(0)).count() == 0
