@@ -56,7 +56,7 @@ def flags(spark, sf_dir):
     return c.select("c_custkey", "is_zero", "is_seven", C.any_flag(["is_zero", "is_seven"]).alias("any"), C.key(F.concat(F.lit("  "), F.lower("c_name"), F.lit(" "))).alias("key"), F.round("weight", 5).alias("weight"))
 
 
-FLAGS = "select c_custkey, (c_nationkey = 0)::int as is_zero, (c_nationkey = 7)::int as is_seven, c_nationkey in (0, 7) as any, upper(c_name) as key, round(c_acctbal * c_nationkey / 1000, 5) as weight from customer"
+FLAGS = "select c_custkey, (c_nationkey = 0)::int as is_zero, (c_nationkey = 7)::int as is_seven, c_nationkey in (0, 7) as any, upper(c_name) as key, round(c_acctbal * c_nationkey / 1000, 5) + 0 as weight from customer"
 
 
 def naive_scores(spark, sf_dir):
