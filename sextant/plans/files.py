@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..functions import columns as C
 from ..sources import readers, sinks
 from .texts import table
 
 
-def scratch(spark) -> str:
-    """A new folder under spark.checkpoint.dir, or a temporary one on a single machine where that is unset."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.gettempdir()
-    return f"{found.rstrip('/')}/sextant-files-{uuid.uuid4().hex}"
-
-
 def csv_typed(spark, sf_dir):
     """Customers written as CSV with provenance and read back by name and type."""
-    path = scratch(spark) + "/customers"
+    path = scratch.new_folder(spark) + "/customers"
     rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_nationkey")
     sinks.write_table(rows, path, "customers", "csv_typed")
     return readers.csv(spark, path, "c_custkey long, c_name string, c_acctbal double, c_nationkey int")
@@ -35,12 +23,11 @@ CSV = "select c_custkey, c_name, c_acctbal, c_nationkey::int as c_nationkey from
 
 def text_files(spark, sf_dir):
     """A text file for each nation, one more of a kind for some, joined back to the table; a missing file is ''."""
-    folder = scratch(spark)
+    folder = scratch.new_folder(spark)
     nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_regionkey").cast("string").alias("tag"), "n_name")
-    for r in nations.collect():  # a fixed dimension
-        sinks.write_text(spark, f"{folder}/{r.key}_{r.tag}.txt", r.n_name)
-        if r.tag == "1":
-            sinks.write_text(spark, f"{folder}/{r.key}_{r.tag}_mda.txt", r.n_name.lower())
+    name = F.concat("key", F.lit("_"), "tag")
+    extra = nations.where("tag = '1'").select(F.concat(name, F.lit("_mda")).alias("name"), F.lower("n_name").alias("text"))
+    sinks.write_texts(nations.select(name.alias("name"), F.col("n_name").alias("text")).union(extra), folder, "name", "text")
     files = readers.text_files(spark, folder, ("_mda",))
     out = readers.with_texts(nations, files, "key", "tag", {"full": "full_text", "mda": "mda_text"})
     return readers.read_status(out.withColumn("mda_text", F.nullif("mda_text", F.lit(""))), "mda_text")
@@ -96,7 +83,7 @@ where o_orderstatus in ('F', 'O') group by 1"""
 
 def full_and_sample(spark, sf_dir):
     """Orders written whole and as a sample by a condition that keeps nulls; the rows of both tables."""
-    folder = scratch(spark)
+    folder = scratch.new_folder(spark)
     rows = table(spark, sf_dir, "orders").withColumn("kind", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderkey") % 3))
     n, m = sinks.write_pair(rows, folder + "/all", folder + "/sample", C.not_equal(F.col("kind"), 1))
     return spark.createDataFrame([("all", n), ("sample", m)], "kind string, n long")

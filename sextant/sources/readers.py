@@ -25,9 +25,16 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def text_files(spark: SparkSession, path: str, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(key, tag, kind, text, path) of files named key_tag.txt or key_tag_suffix.txt for the suffixes of skip; undecodable bytes are replaced."""
-    files = spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
-    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[^.]*$", "")
+    """(key, tag, kind, text, path) of files named key_tag.txt or key_tag_suffix.txt for the suffixes of skip; undecodable bytes are replaced.
+
+    Texts that sinks.write_texts wrote have their names in their folders and a line's end that is not theirs.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    text, stem = F.make_valid_utf8(F.col("content").cast("string")), F.regexp_replace(F.element_at(F.split("path", "/"), -1), "\\.[^.]*$", "")
+    if "name" in files.columns:
+        text, stem = F.regexp_replace(text, "\n\\z", ""), F.col("name").cast("string")
+    files = files.select("path", text.alias("text"), stem.alias("stem"))
+    stem = F.col("stem")
     kind, base = F.lit("full"), stem
     for s in skip:
         kind = F.when(stem.endswith(s), s.strip("_")).otherwise(kind)

@@ -31,6 +31,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def write_texts(df: DataFrame, path: str, name: str, text: str) -> None:
+    """A text file for each row, in a folder name=..; executors write, a row each a file. Names are unique."""
+    rows = df.select(F.col(name).cast("string").alias("name"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows.repartition("name").write.mode("overwrite").partitionBy("name").text(path)
+
+
 def git_commit() -> str:
     """The working tree's commit, with +dirty if it has changes, else 'unknown'."""
     try:
