@@ -28,7 +28,7 @@ from .common import materialise, release
 ENDS, BLANKS = b".,;:!?\x0a\x0b\x0c\x0d", b"\t"
 FOLD = bytes.maketrans(ENDS + BLANKS + bytes(range(65, 91)), b"." * len(ENDS) + b" " * len(BLANKS) + bytes(range(97, 123)))
 #: Characters of a shard, bitmap words that are extended at once, and bits of the map of frequent phrases (16 MB).
-SHARD, AT_ONCE, BITS = 1 << 23, 1 << 19, 1 << 27
+SHARD, AT_ONCE, BITS = 1 << 22, 1 << 18, 1 << 27
 LEAST, LONGEST, TOP = 10, 3, 2000
 #: Parts in which a language's candidates are cut to the best before they meet.
 PARTS = 64
