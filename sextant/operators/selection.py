@@ -59,7 +59,10 @@ def select_ranks(rows: DataFrame, by: list[str], column: str, targets: DataFrame
         # an even place is the space before an edge, the next odd one the edge itself
         less = F.size(F.filter("__edges", lambda e: e < F.col("__x")))
         place = 2 * less + F.when(F.array_contains("__edges", F.col("__x")), 1).otherwise(0)
-        counts = placed.groupBy(*names, "__below", place.alias("__place")).agg(F.count("*").alias("__n"), F.first("__edges").alias("__edges"))
+        # edges are joined again to the counts: carried through the aggregate they would make it sort all rows
+        counts = placed.groupBy(*names, "__below", place.alias("__place")).agg(F.count("*").alias("__n"))
+        again = edges.select(*by, F.col("__lo").alias("__l"), F.col("__hi").alias("__h"), "__edges")
+        counts = per_group(counts, again, by, F.col("__lo").eqNullSafe(F.col("__l")) & F.col("__hi").eqNullSafe(F.col("__h"))).drop("__l", "__h")
         w = Window.partitionBy(*names).orderBy("__place").rowsBetween(Window.unboundedPreceding, 0)  # 2 * EDGES + 1 places at most
         counts = counts.withColumn("__from", F.col("__below") + F.sum("__n").over(w) - F.col("__n"))
         at = (F.col("__place") / 2).cast("int")

@@ -629,3 +629,19 @@ def test_leaf_wise_boosting_against_numpy(spark, monkeypatch):
     assert max(abs(mean + row["a_a"] + row["a_b c"] + row["a_d"] - row.prediction) for row in got.values()) < 1e-9
     part = boosting.boost(df, "y", features, rounds=3, leaves=4)
     assert all(350 < t.rows[0] < 450 for t in part.trees) and part.predict(df.limit(0)).count() == 0
+
+
+def test_selection_counts_without_sorting_rows(spark, monkeypatch):
+    """Rows are counted by a hash aggregate: edges that went through it would make each task sort its rows with 63 edges each."""
+    from pyspark.sql import functions as F
+    from sextant import scratch
+    from sextant.operators.selection import group_quantiles
+
+    plans = []
+    write = scratch.write
+    monkeypatch.setattr(scratch, "write", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df))[1])
+    rows = spark.range(4000).select(F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 1013).cast("double").alias("v"))
+    got = {r.g: r.q for r in group_quantiles(rows, ["g"], "v", [0.1, 0.5], most=50).collect()}
+    want = {r.g: r.q for r in rows.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5))).alias("q")).collect()}
+    assert got == want
+    assert len(plans) > 4 and not any("SortAggregate" in p for p in plans)
