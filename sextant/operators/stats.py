@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from ..functions import dist
 from .selection import group_quantiles, per_group, select_ranks
-from .windows import average_rank
+from .windows import average_rank, average_ranks
 
 
 def summary(df: DataFrame, by: list[str], x: str) -> DataFrame:
@@ -59,7 +59,7 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str) -> tuple[float | None, float | None, int]:
     """(rho, p, n) over complete rows."""
     rows = df.select(x, y).na.drop()
-    rows = average_rank(average_rank(rows, x, "__rx"), y, "__ry")
+    rows = average_ranks(rows, {x: "__rx", y: "__ry"})
     rho, n = rows.agg(F.corr("__rx", "__ry"), F.count("*")).first()
     rho = None if rho is None or math.isnan(rho) else rho
     return rho, dist.correlation_p(rho, n) if rho is not None else None, n
@@ -108,9 +108,11 @@ def partial_spearman(df: DataFrame, x: str, y: str, controls: list[str]) -> dict
     rows = df.select(x, y, *controls).na.drop()
     spans = rows.agg(*[(F.min(c) != F.max(c)).alias(f"v{i}") for i, c in enumerate(controls)]).first() if controls else []
     controls = [c for c, varies in zip(controls, spans) if varies]  # a constant explains nothing
-    for c in (x, y, *controls):
-        rows = average_rank(rows, c, f"__r_{c}")
-    g, n = gram(rows, [f"__r_{c}" for c in (*controls, x, y)])
+    n = rows.count()
+    # ranks about their mean, which is known, as shares of n: sums of products of raw ranks lose the digits of their differences as n grows
+    ranked = average_ranks(rows, {c: f"__r_{c}" for c in dict.fromkeys((x, y, *controls))})
+    ranked = ranked.withColumns({f"__r_{c}": (F.col(f"__r_{c}") - (n + 1) / 2) / n for c in (x, y, *controls)})
+    g, n = gram(ranked, [f"__r_{c}" for c in (*controls, x, y)])
     k = len(controls) + 1
     a, b = g[:k, :k], g[:k, k:]
     left = g[k:, k:] - b.T @ np.linalg.pinv(a) @ b

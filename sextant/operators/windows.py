@@ -21,15 +21,27 @@ def range_bucket(df: DataFrame, column: str, buckets: int = 64) -> F.Column:
     return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(column).cast("double")))
 
 
+def average_ranks(df: DataFrame, columns: dict[str, str], buckets: int = 64) -> DataFrame:
+    """Ranks of columns, given as {column: name of its rank}: from 1, with ties averaged. Only distinct values and their counts are ordered.
+
+    Each column's counts and ranks are tables of the shared folder: computed once, and of a size
+    that Spark knows, so that the ranks of few values are broadcast and their rows do not meet in one task.
+    """
+    out = df
+    for column, name in columns.items():
+        counts = scratch.write(df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n")))
+        placed = counts.withColumn("__b", range_bucket(counts, "__v", buckets))
+        totals = placed.groupBy("__b").agg(F.sum("__n").alias("__t")).withColumn("__before", F.coalesce(F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        w = Window.partitionBy("__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = placed.withColumn("__upto", F.sum("__n").over(w)).join(F.broadcast(totals.select("__b", "__before")), "__b")
+        ranked = scratch.write(ranked.select("__v", (F.col("__before") + F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / F.lit(2.0)).alias(name)))
+        scratch.drop(counts)
+        out = out.join(ranked, F.col(column) == F.col("__v"), "left").drop("__v")
+    return out
+
+
 def average_rank(df: DataFrame, column: str, out: str, buckets: int = 64) -> DataFrame:
-    """Ranks from 1 with ties averaged. Only distinct values and their counts are ordered."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("__v")).agg(F.count("*").alias("__n"))
-    counts = counts.withColumn("__b", range_bucket(counts, "__v", buckets))
-    totals = counts.groupBy("__b").agg(F.sum("__n").alias("__t")).withColumn("__before", F.coalesce(F.sum("__t").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("__upto", F.sum("__n").over(w)).join(F.broadcast(totals.select("__b", "__before")), "__b")
-    ranked = ranked.select("__v", (F.col("__before") + F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / F.lit(2.0)).alias(out))
-    return df.join(ranked, F.col(column) == F.col("__v"), "left").drop("__v")
+    return average_ranks(df, {column: out}, buckets)
 
 
 def rolling_full(df: DataFrame, value: str, rows: int, order: list[str], by: list[str] = ()) -> tuple[F.Column, F.Column]:

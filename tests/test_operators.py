@@ -645,3 +645,22 @@ def test_selection_counts_without_sorting_rows(spark, monkeypatch):
     want = {r.g: r.q for r in rows.groupBy("g").agg(F.percentile("v", F.array(F.lit(0.1), F.lit(0.5))).alias("q")).collect()}
     assert got == want
     assert len(plans) > 4 and not any("SortAggregate" in p for p in plans)
+
+
+def test_partial_ranks_are_centred(spark, monkeypatch):
+    """Sums of products of raw ranks are too ill-conditioned for the pseudo-inverse beyond some 27 million rows."""
+    held, gram = [], stats.gram
+    monkeypatch.setattr(stats, "gram", lambda df, columns: (held.append(gram(df, columns)), held[-1])[1])
+    rows = spark.range(2000).select((F.col("id") * 7 % 13).alias("x"), (F.col("id") * 5 % 17).alias("y"), (F.col("id") % 11).alias("z"))
+    got = stats.partial_spearman(rows, "x", "y", ["z"])
+    matrix, n = held[0]
+    assert got["n"] == n == 2000
+    assert abs(matrix[0, 1:]).max() < 1e-6 and abs(matrix[1:, 1:]).max() <= n / 4
+
+
+def test_ranks_of_few_values_are_broadcast(spark):
+    """The ranks of ten values must not deal 40 MB of rows to ten tasks."""
+    rows = spark.range(5_000_000).select((F.col("id") % 10).alias("v"))
+    ranked = windows.average_rank(rows, "v", "r")
+    assert "SortMergeJoin" not in ranked._jdf.queryExecution().executedPlan().toString()
+    assert ranked.agg(F.sum("r"), F.min("r"), F.max("r")).first()[:] == (5_000_000 * 5_000_001 / 2, 250_000.5, 4_750_000.5)
