@@ -17,7 +17,7 @@ from ..functions import dist
 from . import binning, stats
 from .effects import absorbed_ols
 from .selection import group_quantiles
-from .windows import average_rank
+from .windows import average_ranks
 
 DRAWS, SEED, CELLS = 5000, 20240517, 1024
 Z = 1.959963984540054
@@ -31,7 +31,7 @@ def _known(df: DataFrame, *columns: str) -> DataFrame:
 
 def _ranked(df: DataFrame, x: str, y: str) -> tuple[DataFrame, int, float | None]:
     """Average ranks __rx and __ry of the complete rows, their number, and rho."""
-    rows = average_rank(average_rank(_known(df, x, y), x, "__rx"), y, "__ry").select("__rx", "__ry").persist()
+    rows = average_ranks(_known(df, x, y), {x: "__rx", y: "__ry"}).select("__rx", "__ry").persist()
     rho, n = rows.agg(F.corr("__rx", "__ry"), F.count("*")).first()
     return rows, n, None if rho is None or math.isnan(rho) else rho
 
@@ -76,7 +76,8 @@ def rank_replicates(ranked: DataFrame, n: int, draws: int = DRAWS, seed: int = S
         return pd.DataFrame({"block": [key[0]], "rho": [out]})
 
     dealt = counted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    got = dealt.groupBy("block").applyInPandas(run, "block int, rho array<double>").orderBy("block").collect()
+    # a row for each block, ordered here: an orderBy would sample its input first, which draws everything twice
+    got = sorted(dealt.groupBy("block").applyInPandas(run, "block int, rho array<double>").collect(), key=lambda r: r.block)
     return np.array([v for r in got for v in r.rho], float)
 
 

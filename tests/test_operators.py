@@ -664,3 +664,16 @@ def test_ranks_of_few_values_are_broadcast(spark):
     ranked = windows.average_rank(rows, "v", "r")
     assert "SortMergeJoin" not in ranked._jdf.queryExecution().executedPlan().toString()
     assert ranked.agg(F.sum("r"), F.min("r"), F.max("r")).first()[:] == (5_000_000 * 5_000_001 / 2, 250_000.5, 4_750_000.5)
+
+
+def test_replicates_are_drawn_once(spark):
+    """Ordering the blocks in Spark sampled them first, which ran all draws twice."""
+    from sextant.operators import studies
+
+    ranked = windows.average_ranks(spark.range(600).select("id", (F.col("id") * 7 % 601).alias("y")), {"id": "__rx", "y": "__ry"}).select("__rx", "__ry").persist()
+    ranked.count()
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("replicates"))
+    spark.sparkContext.setJobGroup("replicates", "")
+    got = studies.rank_replicates(ranked, 600, 64)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(got) == 64 and jobs() <= 3
