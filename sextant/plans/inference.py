@@ -176,8 +176,9 @@ def bootstrap_medians(spark, sf_dir):
 
 
 def _deals(spark, sf_dir):
+    """An order a row, as a table of the shared folder: models read it many times."""
     o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
-    return o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "o_orderdate", (F.col("o_totalprice") / 1000).alias("y"), "c_acctbal", F.month("o_orderdate").cast("double").alias("month"), "o_orderpriority", "c_mktsegment")
+    return scratch.write(o.join(c, o.o_custkey == c.c_custkey).select("o_orderkey", "o_orderdate", (F.col("o_totalprice") / 1000).alias("y"), "c_acctbal", F.month("o_orderdate").cast("double").alias("month"), "o_orderpriority", "c_mktsegment"))
 
 
 def ts_folds(spark, sf_dir):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..operators import binning, models, stats, studies
 from ..operators.selection import group_quantiles
 from .inference import _RANK, _deals, _row
@@ -17,7 +18,7 @@ STUDY = studies.Study(
 
 
 def events(spark, sf_dir):
-    """One row an order. Ratios are of whole numbers, so that equal values are equal in every engine."""
+    """One row an order, as a table of the shared folder, as studies read it many times. Ratios are of whole numbers, so that equal values are equal in every engine."""
     lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
         F.count("*").alias("n"), F.sum(F.round(F.col("l_discount") * 100).cast("long")).alias("d"), F.sum(F.round(F.col("l_quantity")).cast("long")).alias("q"),
         F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("p"), F.max(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("m"),
@@ -25,11 +26,11 @@ def events(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     rows = orders.join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     tier = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), 1.0).when(F.col("o_orderpriority").isin("4-NOT SPECIFIED", "5-LOW"), 0.0)
-    return rows.select(
+    return scratch.write(rows.select(
         "o_orderkey", F.col("o_custkey").alias("customer"), (F.col("o_totalprice") / 1000).alias("y"), (F.col("d") / F.col("n")).alias("tone"), (F.col("m") / F.col("p")).alias("concentration"), F.col("c_acctbal").alias("climate"), tier.alias("tier"),
         F.year("o_orderdate").alias("year"), F.col("c_mktsegment").alias("sector"), F.col("q").cast("double").alias("length"), F.col("n").cast("double").alias("lines"),
         (F.col("c_nationkey") == 7).cast("int").alias("excluded"), (F.col("o_orderstatus") == "F").cast("int").alias("corrected"),
-    )
+    ))
 
 
 _EVENTS = """li as (select l_orderkey, count(*) as n, sum(round(l_discount * 100)::bigint) as d, sum(round(l_quantity)::bigint) as q, sum(round(l_extendedprice * 100)::bigint) as p, max(round(l_extendedprice * 100)::bigint) as m from lineitem group by 1),

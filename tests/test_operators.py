@@ -677,3 +677,12 @@ def test_replicates_are_drawn_once(spark):
     got = studies.rank_replicates(ranked, 600, 64)
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(got) == 64 and jobs() <= 3
+
+
+def test_events_and_deals_are_tables(spark):
+    """Studies and models read their rows many times, so the joins behind them run once."""
+    from sextant.plans import inference, study
+
+    for make in (study.events, inference._deals):
+        rows = make(spark, "/root/testdata/sf0.001")
+        assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() > 0
