@@ -20,6 +20,8 @@ from .stats import gram
 
 #: Levels of the narrower of two effects; its matrix is 32 MB at most.
 NARROW = 2000
+#: Levels and cells of the wider one that are worked on at once.
+BATCH, CELLS = 1024, 200_000
 
 
 def _centred(rows: DataFrame, effect: str, columns: list[str]) -> DataFrame:
@@ -60,12 +62,24 @@ def _two(rows: DataFrame, wide: str, narrow: str, columns: list[str]) -> tuple[D
     shared = spark.sparkContext.broadcast(inverse)
 
     def leverages(pdf):
-        at, n = pdf["b"].to_numpy(), pdf["n"].to_numpy(float)
-        share, block = n / n.sum(), shared.value[np.ix_(at, at)]
-        inner = block @ share
-        return pd.DataFrame({"a": pdf["a"], "b": pdf["b"], "__h": 1 / n.sum() + np.diag(block) - 2 * inner + share @ inner})
-
-    held = scratch.write(cells.groupBy("a").applyInPandas(leverages, cells.select("a", "b").schema.add("__h", DoubleType())))
+        # many levels of the wide effect at once, BATCH of them as rows of a matrix of shares
+        a, at = pdf["a"].factorize()[0], pdf["b"].to_numpy()
+        order = np.argsort(a, kind="stable")
+        a, at, n = a[order], at[order], pdf["n"].to_numpy(float)[order]
+        all_ = np.bincount(a, n)
+        out, diagonal = np.empty(len(a)), np.diag(shared.value)
+        for first in range(0, len(all_), BATCH):
+            lo, hi = np.searchsorted(a, [first, first + BATCH])
+            i, j = a[lo:hi] - first, at[lo:hi]
+            share = np.zeros((i[-1] + 1, len(diagonal)))
+            share[i, j] = n[lo:hi] / all_[a[lo:hi]]
+            inner = share @ shared.value
+            out[lo:hi] = 1 / all_[a[lo:hi]] + diagonal[j] - 2 * inner[i, j] + np.einsum("ij,ij->i", share, inner)[i]
+        return pd.DataFrame({"a": pdf["a"].to_numpy()[order], "b": at, "__h": out})
+
+    # a level's cells stay together; a call takes about CELLS of them
+    dealt = cells.groupBy(F.pmod(F.xxhash64("a"), F.lit(cells.count() // CELLS + 1)))
+    held = scratch.write(dealt.applyInPandas(leverages, cells.select("a", "b").schema.add("__h", DoubleType())))
     out = _centred(left, wide, columns).join(held, (F.col(wide) == F.col("a")) & (F.col("__b") == F.col("b"))).drop("a", "b", "__b")
     return out, sizes.count() + int(np.linalg.matrix_rank(matrix, hermitian=True))
 

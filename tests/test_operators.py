@@ -686,3 +686,15 @@ def test_events_and_deals_are_tables(spark):
     for make in (study.events, inference._deals):
         rows = make(spark, "/root/testdata/sf0.001")
         assert "Join" not in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() > 0
+
+
+def test_leverages_of_many_levels_at_once(spark, monkeypatch):
+    """Levels are worked on in batches, a call takes many of them, and no result depends on the batch."""
+    from sextant.operators import effects
+
+    rows = spark.range(900).select((F.col("id") % 120).alias("wide"), (F.col("id") * 7 % 11).alias("narrow"), (F.col("id") * 13 % 101).cast("double").alias("x"), (F.col("id") * 29 % 97).cast("double").alias("y"))
+    whole = effects.absorbed_ols(rows, "y", ["x"], ["wide", "narrow"])
+    monkeypatch.setattr(effects, "BATCH", 7)
+    monkeypatch.setattr(effects, "CELLS", 100)
+    cut = effects.absorbed_ols(rows, "y", ["x"], ["wide", "narrow"])
+    assert cut["n"] == whole["n"] == 900 and cut["se"][1] == pytest.approx(whole["se"][1], rel=1e-9) and cut["beta"][1] == pytest.approx(whole["beta"][1], rel=1e-9)
