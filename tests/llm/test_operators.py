@@ -513,6 +513,24 @@ def test_near(table, monkeypatch, crowd):
     assert got == Counter((i, len(s), find(i) if i is not None else None, i is None or find(i) == i) for i, s in sets)
 
 
+def test_bits_keep_every_link(spark):
+    r = random.Random(31)
+    rows = []
+    for i in range(300):
+        n = r.choice((1, 5, 40, 200, 900))
+        x = [r.randrange(1 << 63) for _ in range(n)]
+        y = x[r.randint(0, n // 4) :] + [r.randrange(1 << 63) for _ in range(r.randint(0, n // 6))]
+        rows += [(x, y), (x, [r.randrange(1 << 63) for _ in x])]
+    bits = lambda hashes: [b - (1 << 64) if b >> 63 else b for b in (sum({1 << h % 512 - 64 * j for h in hashes if h % 512 // 64 == j}) for j in range(near_dedup.LONGS))]
+    df = spark.createDataFrame([(x, y, len(x), len(y), bits(x), bits(y)) for x, y in rows], "x array<long>, y array<long>, n long, n2 long, bits array<long>, bits2 array<long>")
+    got = df.select(near_dedup._may_link(80).alias("may"), near_dedup._linked("x", "y", 80).alias("linked"), "n").collect()
+    assert all(g.may for g in got if g.linked) and sum(g.linked for g in got) > 100
+    assert not any(g.may for g in got[1::2] if 5 < g.n < 900)
+    docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    one = near_dedup.sketches(docs, "doc_id", "text", 2, full=True).first()
+    assert one.bits == bits(one.sketch)
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(1000, 1040)] + [(5, 5), (None, 3)]
