@@ -523,7 +523,9 @@ def test_bits_keep_every_link(spark):
         rows += [(x, y), (x, [r.randrange(1 << 63) for _ in x])]
     bits = lambda hashes: [b - (1 << 64) if b >> 63 else b for b in (sum({1 << h % 512 - 64 * j for h in hashes if h % 512 // 64 == j}) for j in range(near_dedup.LONGS))]
     df = spark.createDataFrame([(x, y, len(x), len(y), bits(x), bits(y)) for x, y in rows], "x array<long>, y array<long>, n long, n2 long, bits array<long>, bits2 array<long>")
-    got = df.select(near_dedup._may_link(80).alias("may"), near_dedup._linked("x", "y", 80).alias("linked"), "n").collect()
+    one, two = near_dedup.with_bits(df.select("x", "y", "n", "bits", F.monotonically_increasing_id().alias("at"))), near_dedup.with_bits(df.select("n2", "bits2", F.monotonically_increasing_id().alias("at")).toDF("n", "bits", "at"))
+    two = near_dedup._other(two, *[c for c in two.columns if c != "at"])
+    got = one.join(two, "at").orderBy("at").select(near_dedup._may_link(80).alias("may"), near_dedup._linked("x", "y", 80).alias("linked"), "n").collect()
     assert all(g.may for g in got if g.linked) and sum(g.linked for g in got) > 100
     assert not any(g.may for g in got[1::2] if 5 < g.n < 900)
     docs = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
