@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Rows of the sample, of a cell, of a block of queries, and candidates verified at once.
-SAMPLE_ROWS, CELL_ROWS, QUERY_ROWS, STEP = 50_000, 4096, 4096, 128
+#: Rows of the sample, of a cell, of a block of queries, candidates verified at once, and pairs computed anew at once.
+SAMPLE_ROWS, CELL_ROWS, QUERY_ROWS, STEP, PAIRS = 50_000, 4096, 4096, 128, 1 << 16
 
 
 def chi_square_quantile(p: float, dof: int) -> float:
@@ -89,9 +89,12 @@ def cell_of(points, axis, cut):
 def verify(q, asks, given, ql, v, ids, low, longest: float, quantile: float, k: int):
     """Search a cell for a block of queries: (query's place, id, score) of the best k found, and the pairs verified by query.
 
-    Each query takes the candidates in order of projected distance, STEP at a time, and computes their products on
+    Each query takes the candidates in order of projected distance, STEP at a time, by their products on
     the original vectors. It stops when the next projected distance lies beyond the chi-square quantile of the
-    distance of its k-th best so far (or of given, the k-th best known before; nan if there is none). ids ascend.
+    distance of its k-th best so far (or of given, the k-th best known before; nan if there is none).
+
+    Products come from one matrix product for the block, whose last digits depend on the block's shape; those that may
+    be among the k best of what a query has taken are computed anew, so scores and ties do not depend on it.
     """
     import numpy as np
 
@@ -100,25 +103,28 @@ def verify(q, asks, given, ql, v, ids, low, longest: float, quantile: float, k:
     far = np.take_along_axis(far, order, 1)
     n, squares = len(ids), (q * q).sum(1)
     bound = np.where(np.isnan(given), -np.inf, given)
-    best, best_ids = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+    products = q @ v.T
+    products[ids == asks[:, None]] = -np.inf
+    best = np.full((len(q), k), -np.inf)
     done, at, live = np.zeros(len(q), np.int64), 0, np.arange(len(q))
     while at < n and len(live):
         radius = quantile * np.maximum(squares[live] + longest - 2 * bound[live], 0)
         live = live[far[live, at] <= radius]
         some = order[live, at : at + STEP]
-        score = (v[some] * q[live][:, None, :]).sum(2)
-        which = ids[some]
-        score[which == asks[live][:, None]] = -np.inf
-        score, which = np.concatenate([best[live], score], 1), np.concatenate([best_ids[live], which], 1)
-        by = np.argsort(which, axis=1, kind="stable")
-        score, which = np.take_along_axis(score, by, 1), np.take_along_axis(which, by, 1)
-        by = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        best[live], best_ids[live] = np.take_along_axis(score, by, 1), np.take_along_axis(which, by, 1)
-        bound[live] = np.maximum(bound[live], best[live, -1])
+        best[live] = np.partition(np.concatenate([best[live], products[live[:, None], some]], 1), -k, axis=1)[:, -k:]
+        bound[live] = np.maximum(bound[live], best[live, 0])
         done[live] += some.shape[1]
         at += STEP
-    row, col = np.nonzero((best > -np.inf) & ~(best < given[:, None]))
-    return row, best_ids[row, col], best[row, col], done
+    taken = np.empty((len(q), n), bool)
+    np.put_along_axis(taken, order, np.arange(n) < done[:, None], 1)
+    least = best[:, 0] - 1e-12 * np.sqrt(squares * longest)
+    row, col = np.nonzero(taken & (products >= least[:, None]) & (products > -np.inf))
+    score = np.concatenate([(v[col[i : i + PAIRS]] * q[row[i : i + PAIRS]]).sum(1) for i in range(0, len(row), PAIRS)] or [np.empty(0)])
+    by = np.lexsort((ids[col], -score, row))
+    row, col, score = row[by], col[by], score[by]
+    first = np.arange(len(row)) - np.searchsorted(row, row) < k
+    first &= ~(score < given[row])
+    return row[first], ids[col[first]], score[first], done
 
 
 def usable(vector: F.Column) -> F.Column:

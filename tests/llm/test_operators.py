@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -473,6 +474,31 @@ def test_line_sims_equal_simhash(spark):
     assert sorted(map(tuple, line_dedup.line_sims(lines).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_verify_does_not_depend_on_the_block():
+    rng = np.random.default_rng(3)
+    v = np.concatenate([np.repeat(rng.standard_normal((1, 48)), 300, 0), rng.standard_normal((1500, 48))])
+    ids, q, asks = rng.permutation(len(v)), v[[0, 1, 400, 900]], np.array([-1, -2, -3, -4])
+    low, none, longest = v[:, :5], np.full(4, np.nan), (v * v).sum(1).max()
+    row, near, score, done = nearest.verify(q, asks, none, q[:, :5], v, ids, low, longest, 1e9, 20)
+    assert (done == len(v)).all()
+    for i in range(4):
+        exact = (v * q[i]).sum(1)
+        want = np.lexsort((ids, -exact))[:20]
+        assert near[row == i].tolist() == ids[want].tolist() and score[row == i].tolist() == exact[want].tolist()
+    # and costs less than products of gathered vectors
+    q, more = rng.standard_normal((128, 48)), rng.standard_normal((3000, 48))
+    best = [math.inf, math.inf]
+    for _ in range(3):
+        start = time.process_time()
+        order = np.argsort(((q[:, None, :5] - more[:, :5]) ** 2).sum(2), axis=1)
+        for i in range(0, len(more), 128):
+            (more[order[:, i : i + 128]] * q[:, None, :]).sum(2)
+        middle = time.process_time()
+        nearest.verify(q, np.full(128, -1), np.full(128, np.nan), q[:, :5], more, np.arange(len(more)), more[:, :5], longest, 1e9, 20)
+        best = [min(best[0], middle - start), min(best[1], time.process_time() - middle)]
+    assert best[1] < best[0]
+
+
 # near copies
 
 
