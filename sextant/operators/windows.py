@@ -12,13 +12,22 @@ from pyspark.sql import functions as F
 from .. import scratch
 
 
+def edges_below(x: F.Column, edges: list[float]) -> F.Column:
+    """How many of some ascending edges lie below x (null: none), as nested conditions: compiled, and a row takes only the steps of a binary search."""
+    def half(lo: int, hi: int) -> F.Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x > F.lit(float(edges[mid])), half(mid + 1, hi)).otherwise(half(lo, mid))
+
+    return half(0, len(edges))
+
+
 def range_bucket(df: DataFrame, column: str, buckets: int = 64) -> F.Column:
     """The range of a numeric value, by edges that split df about evenly. An expression of literals: the same for equal values."""
     shares = [i / buckets for i in range(1, buckets)]
     edges = sorted(set(df.where(F.col(column).isNotNull()).select(F.percentile_approx(F.col(column).cast("double"), shares, 10_000).alias("e")).first()[0] or []))
-    if not edges:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(column).cast("double")))
+    return edges_below(F.col(column).cast("double"), edges)
 
 
 def average_ranks(df: DataFrame, columns: dict[str, str], buckets: int = 64) -> DataFrame:

@@ -199,14 +199,7 @@ select fold, count(*) filter (where pos < n - (6 - fold) * (n // 6)) as n_train,
 def fold_baselines(spark, sf_dir):
     """Error of the training mean and median in each fold."""
     rows = models.with_position(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_totalprice") / 1000).alias("y")), ["o_orderdate", "o_orderkey"])
-    out = None
-    for i, n, t in models.time_folds(rows.count(), 5):
-        train = rows.where(F.col("pos") < n)
-        base = train.agg(F.avg("y").alias("mean")).withColumn("median", F.lit(binning.quantiles(train, "y", [0.5])[0]))
-        test = rows.where((F.col("pos") >= n) & (F.col("pos") < n + t)).crossJoin(F.broadcast(base))
-        one = test.agg(F.lit(i).alias("fold"), F.round(F.avg(F.abs(F.col("y") - F.col("mean"))), 6).alias("mae_mean"), F.round(F.avg(F.abs(F.col("y") - F.col("median"))), 6).alias("mae_median"))
-        out = one if out is None else out.union(one)
-    return out
+    return models.baselines(rows, "y", 5).select("fold", *[F.round(m, 6).alias(f"mae_{m}") for m in ("mean", "median")])
 
 
 BASELINES = """with o as (select o_totalprice / 1000 as y, row_number() over (order by o_orderdate, o_orderkey) - 1 as pos, count(*) over () as n from orders), f as (select unnest([1, 2, 3, 4, 5]) as fold),

@@ -194,7 +194,7 @@ EXTREMES = f"with {_EVENTS} select sector, arg_max(o_orderkey, struct_pack(y :=
 def fold_summary(spark, sf_dir):
     """The mean's and the median's errors over folds, summarised by model."""
     rows = models.with_position(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", (F.col("o_totalprice") / 1000).alias("y")), ["o_orderdate", "o_orderkey"])
-    folds = models.baselines(rows, "y", 5)
+    folds = models.baselines(rows, "y", 5).unpivot("fold", ["mean", "median"], "model", "mae")
     out = models.fold_summary(folds, ["mae"])
     return out.select("model", *[F.round(c, 6).alias(c) for c in out.columns if c != "model"])
 

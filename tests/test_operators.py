@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import math
 import random
 
 import pytest
@@ -194,6 +195,29 @@ def test_cross_validation_chooses_trees_and_winsorises(spark):
     assert len(models.forest_grid()) == 3 and len(models.boosted_grid()) == 8
 
 
+def test_training_windows_share_passes(spark):
+    import numpy as np
+
+    from sextant.operators import selection, windows
+
+    r = random.Random(5)
+    rows = [(i, r.choice([None, r.gauss(0, 1), 2.0]), r.choice([1.0, 1e9, -3.5, r.random()]), r.choice([float("nan"), 1.0, 2.0]), None, 7.0) for i in range(600)]
+    df = spark.createDataFrame(rows, "pos long, a double, b double, n double, e double, k double").repartition(3)
+    names, sizes, shares = ["a", "b", "n", "e", "k"], [600, 50, 1], [0.0, 0.01, 0.5, 0.99, 1.0]
+    got = selection.prefix_quantiles(df, "pos", sizes, names, shares)
+    for s in sizes:
+        for j, c in enumerate(names, 1):
+            known = [x[j] for x in rows[:s] if x[j] is not None]
+            assert got[s, c] == pytest.approx(np.quantile(np.sort(known), shares), rel=1e-12, nan_ok=True) if known and c != "n" else known or got[s, c] is None
+    assert got[600, "n"][2] == 2.0 and math.isnan(got[600, "n"][4])
+    learnt = models.learn_numeric(df, sizes, ["a", "b", "e", "k"])
+    for c, found in models._learn(df.where(F.col("pos") < 50), ["a", "b", "e", "k"]).items():
+        assert learnt[50][c] == pytest.approx(found, rel=1e-9, abs=1e-9)
+    edges = sorted(r.gauss(0, 1) for _ in range(13))
+    below = df.select("a", windows.edges_below(F.col("a"), edges).alias("n")).collect()
+    assert all(x.n == (0 if x.a is None else np.searchsorted(edges, x.a)) for x in below)
+
+
 def test_prepare_keeps_every_category(spark):
     df = spark.createDataFrame([(f"a{i:05}",) for i in range(1200)] + [("zz",)] * 20, "c string")
     (a, b), names = models.prepare(df, [df, spark.createDataFrame([("unseen",)], "c string")], [], ["c"])
