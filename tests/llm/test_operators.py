@@ -456,6 +456,16 @@ def test_crowded_keys(table, monkeypatch):
     assert line_dedup.dropped_lines(table(rows)).count() == 29
 
 
+def test_crowded_simhashes_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LONG_LIST", 2)
+    monkeypatch.setattr(line_dedup, "SIMS", 4)
+    r, base = random.Random(3), random.Random(4).getrandbits(63)
+    sims = [base ^ sum(1 << b for b in r.sample((0, 1, 2, 3, 60), r.randint(0, 4))) for _ in range(30)]
+    want = {(i, j) for i in range(30) for j in range(i + 1, 30) if (sims[i] ^ sims[j]).bit_count() <= 3}
+    found, _ = line_dedup.sim_pairs(spark.createDataFrame(list(enumerate(sims)), "line long, sim long"))
+    assert {tuple(x) for x in found.collect()} == want and len(want) < 30 * 29 / 2
+
+
 def test_simhash(spark):
     r = random.Random(9)
     rows = [(words(r, n),) for n in (1, 5, 60, 127, 128, 300)]
