@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .. import scratch
 from .attribution import Path, paths_of_nodes
 from .selection import group_quantiles
+from .windows import edges_below
 
 BINS, KEEP = 64, 16
 
@@ -53,8 +54,7 @@ class Booster:
     trees: list[Tree]
 
     def codes(self) -> F.Column:
-        one = lambda f, edges: F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(f"`{f}`").cast("double"))) if edges else F.lit(0)
-        return F.array(*[one(f, e) for f, e in zip(self.features, self.edges)])
+        return F.array(*[edges_below(F.col(f"`{f}`").cast("double"), e) for f, e in zip(self.features, self.edges)])
 
     def predict(self, rows: DataFrame, out: str = "prediction") -> DataFrame:
         """rows with the prediction; a null feature lies in its first bin."""
