@@ -549,6 +549,20 @@ def test_near(table, monkeypatch, crowd):
     assert got == Counter((i, len(s), find(i) if i is not None else None, i is None or find(i) == i) for i, s in sets)
 
 
+def test_an_unlinked_crowd_goes_through_its_postings_once_more(table, monkeypatch):
+    """A passage that 30 documents share: a star that links none of them ends the stars, and its postings serve the step after."""
+    monkeypatch.setattr(near_dedup, "LONG_LIST", 6)
+    passes, by_key = [], near_dedup.by_key
+    monkeypatch.setattr(near_dedup, "by_key", lambda rows, lookup, key, *a, **k: (passes.append(key), by_key(rows, lookup, key, *a, **k))[1])
+    r = random.Random(41)
+    passage = words(r, 60)
+    rows = [(i, words(r, 40) + " " + passage) for i in range(30)]
+    rows += [(100, rows[7][1] + " end")]
+    got = {x.doc_id: x.component_id for x in near_dedup.near_components(table(rows), words=2).collect()}
+    assert got == {i: i for i in range(30)} | {100: 7}
+    assert passes.count("key") == 5  # both lists' lengths, two stars, one look for what is unsettled
+
+
 def test_bits_keep_every_link(spark):
     r = random.Random(31)
     rows = []
