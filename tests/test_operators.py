@@ -100,6 +100,15 @@ def test_uniqueness(spark):
     assert all(got[i].uniqueness is None for i in range(5)) and all(got[i].uniqueness < 0.05 for i in range(5, 15))
 
 
+def test_uniqueness_splits_texts_once_in_tasks_of_its_own(spark, monkeypatch):
+    plans, write = [], D.scratch.write
+    monkeypatch.setattr(D.scratch, "write", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), write(df))[1])
+    rows = [(i, "a", "one two three" if i % 3 else ("", None, "7 8")[i % 2 + i // 9], i) for i in range(12)]
+    got = {r.id: r.prior for r in D.expanding_uniqueness(spark.createDataFrame(rows, "id int, g string, t string, o int"), "id", "t", "g", ["o"]).collect()}
+    assert got == {i: i - i // 3 - 1 for i in range(12) if i % 3}
+    assert plans[0].count("regexp_replace") == 1 and "RepartitionByExpression" in plans[0]
+
+
 def test_sections_and_entities(spark):
     body = lambda h: f" Table of Contents\n{h}\n" + "words " * 120
     text = "".join(map(body, ["RISK FACTORS", "USE OF PROCEEDS", "LEGAL MATTERS", "nothing", "DIVIDEND POLICY"])) + "see RISK FACTORS"
