@@ -5,6 +5,9 @@ Features are coded once by quantile edges. A tree's best leaf is split first, un
 whatever the rows; of two children only the smaller one's are summed and the other's follow by subtraction. Since the best
 leaf is known only once its rivals' children are, a job splits all promising leaves ahead of their turn, and a tree takes
 about as many jobs as it is deep. Predictions so far are kept with the rows and written anew every KEEP trees.
+
+Rows with the same bins always lie in the same leaf. Where the distinct rows of bins (cells) are at most CELLS, whatever the rows, a few jobs
+sum the rows and targets that each turn takes, by turn and cell, and trees grow from these sums. The trees are the same.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from .selection import group_quantiles
 from .windows import edges_below
 
 BINS, KEEP = 64, 16
+#: Cells whose sums the driver holds, and the sums (of turns times cells) that a job returns at most.
+CELLS, SUMS = 1 << 16, 1 << 21
 
 
 @dataclass
@@ -108,6 +113,54 @@ def _split(g, n, columns, least: int, l2: float):
     return float(gain.flat[at]), at // gain.shape[1], at % gain.shape[1]
 
 
+def _binned(nodes, at, codes, gradient, count=None):
+    """(gradient sums, rows) of nodes (ascending), by node, feature and bin, of rows that lie at nodes; count stands for several equal rows."""
+    import numpy as np
+
+    place = np.minimum(np.searchsorted(nodes, at), len(nodes) - 1)
+    hit = nodes[place] == at
+    place, codes, gradient, count = place[hit] * BINS, codes[hit], gradient[hit], None if count is None else count[hit]
+    shape = codes.shape[1], len(nodes), BINS
+    g, n = (np.stack([np.bincount(place + c, w, len(nodes) * BINS) for c in codes.T]).reshape(shape).swapaxes(0, 1) for w in (gradient, count))
+    return g, n
+
+
+def _cells(held: DataFrame, k: int):
+    """The distinct rows of bins in order, or None if they are more than CELLS."""
+    import numpy as np
+
+    found = held.select("codes").distinct().limit(CELLS + 1).collect()
+    return None if len(found) > CELLS else np.array(sorted(r.codes for r in found), np.int64).reshape(-1, k)
+
+
+def _turn_sums(held: DataFrame, cells, turns: range, row_share: float):
+    """(rows, target sums) by turn and cell, of the rows that each turn takes; held has the number of its cell."""
+    import numpy as np
+
+    first, shape = turns.start, (len(turns), len(cells))
+
+    def run(batches):
+        import pyarrow as pa
+
+        n, s = np.zeros((2, *shape))
+        for batch in batches:
+            rid, target, cell = (batch.column(i).to_numpy() for i in range(3))
+            for t in range(shape[0]):
+                take = _kept(rid, first + t, row_share)
+                mine = cell[take]
+                n[t] += np.bincount(mine, minlength=shape[1])
+                s[t] += np.bincount(mine, target[take], shape[1])
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n.flat[at].astype(np.int64)), pa.array(s.flat[at])], names=["at", "n", "s"])
+
+    # a task for each core, as each returns a sum for each turn and cell
+    few = held.select("rid", "y", "cell").coalesce(held.sparkSession.sparkContext.defaultParallelism)
+    got = few.mapInArrow(run, "at long, n long, s double").groupBy("at").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).toArrow()
+    n, s = np.zeros((2, shape[0] * shape[1]))
+    n[got["at"].to_numpy()], s[got["at"].to_numpy()] = got["n"].to_numpy(), got["s"].to_numpy()
+    return n.reshape(shape), s.reshape(shape)
+
+
 def boost(rows: DataFrame, y: str, features: list[str], rounds: int = 200, step: float = 0.1, leaves: int = 31, least: int = 20, l2: float = 1.0, row_share: float = 0.8, column_share: float = 0.8, seed: int = 42) -> Booster:
     """Fit to squared errors. Each tree takes a share of rows and columns; l2 shrinks leaves, which have least rows or more."""
     import numpy as np
@@ -120,6 +173,18 @@ def boost(rows: DataFrame, y: str, features: list[str], rounds: int = 200, step:
     model = Booster(features, edges, known.agg(F.avg(y)).first()[0] or 0.0, [])
     held = scratch.write(known.select(F.monotonically_increasing_id().alias("rid"), F.col(y).cast("double").alias("y"), model.codes().alias("codes"), F.lit(model.base).alias("sum")))
     rng, since = np.random.default_rng(seed), []
+    cells = _cells(held, k)
+    if cells is not None:
+        number = spark.createDataFrame([(c.tolist(), i) for i, c in enumerate(cells)], "codes array<int>, cell int")
+        last, held = held, scratch.write(held.join(F.broadcast(number), "codes").select("rid", "y", "cell"))
+        scratch.drop(last)
+        total, block = np.full(len(cells), model.base), max(1, SUMS // max(1, len(cells)))
+
+    def cell_histograms(tree: Tree, wanted: list[int]) -> dict:
+        n, s = taken_rows[turn % block], taken_sums[turn % block]
+        nodes = np.array(sorted(wanted))
+        g, n = _binned(nodes, tree.leaf(cells), cells, n * total - s, n)
+        return {i: np.stack([a, b]) for i, a, b in zip(nodes.tolist(), g, n)}
 
     def histograms(tree: Tree, wanted: list[int], turn: int) -> dict:
         """{node: (gradient sums, rows), each by feature and bin}."""
@@ -136,14 +201,8 @@ def boost(rows: DataFrame, y: str, features: list[str], rounds: int = 200, step:
                 target, codes, total = target[take], codes[take], total[take]
                 for t in recent:
                     total += np.array(t.value)[t.leaf(codes)]
-                at = grown.leaf(codes)
-                place = np.minimum(np.searchsorted(nodes, at), len(nodes) - 1)
-                hit = nodes[place] == at
-                place, codes, gradient = place[hit], codes[hit], (total - target)[hit]
-                for f in range(k):
-                    flat = place * BINS + codes[:, f]
-                    g[:, f] += np.bincount(flat, gradient, len(nodes) * BINS).reshape(-1, BINS)
-                    n[:, f] += np.bincount(flat, minlength=len(nodes) * BINS).reshape(-1, BINS)
+                more = _binned(nodes, grown.leaf(codes), codes, total - target)
+                g, n = g + more[0], n + more[1]
             i, f, b = np.nonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(nodes[i].astype(np.int32)), pa.array(f.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(g[i, f, b]), pa.array(n[i, f, b].astype(np.int64))], names=["node", "f", "b", "g", "n"])
 
@@ -156,7 +215,10 @@ def boost(rows: DataFrame, y: str, features: list[str], rounds: int = 200, step:
     for turn in range(rounds):
         columns = sorted(rng.choice(k, max(1, round(column_share * k)), replace=False).tolist())
         ahead = Tree([None], [0.0], [0])
-        sums = histograms(ahead, [0], turn)
+        if cells is not None and turn % block == 0:
+            taken_rows, taken_sums = _turn_sums(held, cells, range(turn, min(turn + block, rounds)), row_share)
+        summed = (lambda tree, wanted: histograms(tree, wanted, turn)) if cells is None else cell_histograms
+        sums = summed(ahead, [0])
         plan = {0: _split(*sums[0], columns, least, l2)}
         taken, frontier = set(), {0}
         while len(frontier) < leaves:
@@ -173,7 +235,7 @@ def boost(rows: DataFrame, y: str, features: list[str], rounds: int = 200, step:
                     ahead.split += [None, None]
                     less = sums[i][1][f, : b + 1].sum() <= sums[i][1][f, b + 1 :].sum()
                     small[left if less else right] = (i, right if less else left)
-                got = histograms(ahead, list(small), turn)
+                got = summed(ahead, list(small))
                 for child, (parent, sibling) in small.items():
                     sums[child], sums[sibling] = got[child], sums[parent] - got[child]
                     plan |= {c: _split(*sums[c], columns, least, l2) for c in (child, sibling)}
@@ -186,6 +248,9 @@ def boost(rows: DataFrame, y: str, features: list[str], rounds: int = 200, step:
         value = [0.0 if i in taken else float(-step * sums[i][0][0].sum() / (sums[i][1][0].sum() + l2)) for i in order]
         tree = Tree(split, value, [int(sums[i][1][0].sum()) for i in order])
         model.trees.append(tree)
+        if cells is not None:
+            total += np.array(tree.value)[tree.leaf(cells)]
+            continue
         since.append(tree)
         if len(since) == KEEP and turn + 1 < rounds:
             kept = Booster(features, edges, 0.0, list(since))

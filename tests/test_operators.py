@@ -664,6 +664,25 @@ def test_leaf_wise_boosting_against_numpy(spark, monkeypatch):
     assert all(350 < t.rows[0] < 450 for t in part.trees) and part.predict(df.limit(0)).count() == 0
 
 
+def test_boosting_from_cells_equals_boosting_from_rows(spark, monkeypatch):
+    """Trees grow from the sums of cells, with a job for many turns; beyond CELLS from the rows, to the same trees."""
+    from sextant.operators import boosting
+
+    rows = spark.range(3000).select(((F.col("id") * 7919) % 11).cast("double").alias("a"), ((F.col("id") * 31) % 7).cast("double").alias("b"), (F.sqrt((F.col("id") * 7919) % 11 + (F.col("id") * 31) % 7) + F.col("id") % 5).alias("y"))
+    jobs = []
+    sums = boosting._turn_sums
+    monkeypatch.setattr(boosting, "_turn_sums", lambda held, cells, turns, share: (jobs.append((len(cells), len(turns))), sums(held, cells, turns, share))[1])
+    fit = lambda: boosting.boost(rows, "y", ["a", "b"], rounds=5, leaves=5, column_share=1.0)
+    whole = fit()
+    assert jobs == [(77, 5)]
+    monkeypatch.setattr(boosting, "SUMS", 200)
+    assert fit().trees == whole.trees and jobs[1:] == [(77, 2), (77, 2), (77, 1)]
+    monkeypatch.setattr(boosting, "CELLS", 76)
+    plain = fit()
+    assert len(jobs) == 4 and [(t.split, t.rows) for t in plain.trees] == [(t.split, t.rows) for t in whole.trees]
+    assert [v for t in plain.trees for v in t.value] == pytest.approx([v for t in whole.trees for v in t.value], abs=1e-9)
+
+
 def test_selection_counts_without_sorting_rows(spark, monkeypatch):
     """Rows are counted by a hash aggregate: edges that went through it would make each task sort its rows with 63 edges each."""
     from pyspark.sql import functions as F
