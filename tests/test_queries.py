@@ -52,3 +52,13 @@ def test_share_counts_are_read_from_whole_texts(spark, sf_dir, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.char_length("text").alias("n"))
     both = texts.share_count_extract(spark, sf_dir).join(docs, "doc_id").where("n > 300")
     assert both.count() > 0 and both.where("shares < n").count() == 0
+
+
+def test_boosted_leafwise_grows_all_trees(spark, sf_dir, monkeypatch):
+    from sextant.plans import inference
+
+    fitted = []
+    boost = inference.boosting.boost
+    monkeypatch.setattr(inference.boosting, "boost", lambda *a, **k: (fitted.append(boost(*a, **k)), fitted[-1])[1])
+    assert inference.boosted_leafwise(spark, sf_dir).first().n > 0
+    assert len(fitted[0].trees) == 200 and max(sum(s is None for s in t.split) for t in fitted[0].trees) == 31
