@@ -571,8 +571,7 @@ def test_members_of_crowds_meet_once(spark, monkeypatch, least):
     rows = [(m, 1000 * m + i, m if i < mains else 1000 * m + i // 2, n) for m, size, mains in ((1, 90, 3), (2, 90, 80), (3, 2, 1), (4, 5, 5)) for i in range(size) for n in [r.choice((4, 5, 80, 100, 125)) if i % 3 else int(2 ** (10 * r.random()))]]
     dealt = near_dedup.crowd_cells(spark.createDataFrame(rows, "main long, cid long, component long, n long"), 80, 10_000)
     held = dealt.withColumn("cell", F.explode("cells")).drop("cells").select("*", "cell.*").drop("cell")
-    both = held.join(near_dedup._other(held, *[c for c in held.columns if c not in near_dedup.MEET]), near_dedup.MEET).where(near_dedup.meets())
-    got = Counter(tuple(sorted(x)) for x in both.select("cid", "cid2").collect())
+    got = Counter(tuple(sorted(x)) for x in near_dedup.meeting(held).select("cid", "cid2").collect())
     want = {tuple(sorted((a[1], b[1]))) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2] and a[1] < b[1] and 5 * min(a[3], b[3]) >= 4 * max(a[3], b[3])}
     assert want <= set(got) and set(got.values()) == {1}
     assert len(want) > 1000 and (least < 512 or held.count() <= 2 * len(rows) + 2 * sum(x[0] == 2 for x in rows))
